@@ -223,11 +223,11 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonymise_texts(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False) -> DataFrame:
-    """docs with text replaced and pii (array of kind, start, end) added."""
-    own = [c for c in docs.columns if c != "pii"]
+def pseudonymise_texts(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False, spans_as: str = "pii") -> DataFrame:
+    """docs with text replaced and the finds (array of kind, start, end) added, in place of a column of that name."""
+    own = [c for c in docs.columns if c != spans_as]
     docs = docs.select(*[docs[c] for c in own])
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("pii array<struct<kind:string,start:int,end:int>>").fields])
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans_as, T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))])
     at = own.index("text")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -240,7 +240,7 @@ def pseudonymise_texts(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = F
                 texts.append(new)
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in where])
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, spans)], names=[*batch.schema.names, "pii"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, spans)], names=[*batch.schema.names, spans_as])
 
     return docs.mapInArrow(run, schema)
 
