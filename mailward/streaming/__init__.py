@@ -1,0 +1,15 @@
+"""Continuous merge of result batches into a stored table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.store import latest, upsert
+
+
+def merge_stream(batches: DataFrame, read, write, key: str, order: list[str], checkpoint: str):
+    """Start a stream that upserts each micro-batch: read() gives the stored rows, write(df, id) replaces them."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        write(upsert(read(), latest(batch, key, order), key), batch_id)
+
+    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
