@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, table, written
 from .components import components
-from .shingles import mix, shingle_set
+from .shingles import mix, shingle_sets
 
 BUCKET_BITS = 20
 BLOCKS = 64
@@ -42,6 +42,8 @@ LONG = 300
 #: Tokens of buckets that exceed the median by so many rows (and by the noise of the median) are frequent.
 FREQUENT = 32
 PARITY_BITS = 512
+#: Postings with more rows are split into bands of length.
+BANDED = 64
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -53,26 +55,36 @@ def _node(digest: Column, salt: int) -> Column:
 
 
 def _parity(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((mix(tokens) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Parities of the tokens' counts by hash; a power of two bits, more for larger sets. Halves fold by XOR."""
+    size = PARITY_BITS
+    while 3 * size < len(tokens):
+        size *= 2
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def _summaries(width: int):
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        waiting, waits = [], 0
         for batch in batches:
             keys, sizes, digests, parities = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(s))
                 digests.append(_digest(s))
                 parities.append(_parity(s))
-                np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                waiting.append((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                waits += len(s)
+                if waits > 1 << BUCKET_BITS:
+                    counts += np.bincount(np.concatenate(waiting), minlength=1 << BUCKET_BITS).astype(np.uint32)
+                    waiting, waits = [], 0
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int32()), keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary())],
                 names=["block", "doc_id", "n", "digest", "data"],
             )
+        if waits:
+            counts += np.bincount(np.concatenate(waiting), minlength=1 << BUCKET_BITS).astype(np.uint32)
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
@@ -129,7 +141,7 @@ def _postings(width: int, percent: int, shared):
         for batch in batches:
             nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(nodes), 2000):
-                held = [prefix_keys(shingle_set(t, width), levels, percent).view(np.int64) for t in texts[at : at + 2000]]
+                held = [prefix_keys(s, levels, percent).view(np.int64) for s in shingle_sets(texts[at : at + 2000], width)]
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes[at : at + 2000], np.int64), [len(h) for h in held]))], names=["key", "node"])
 
@@ -137,42 +149,62 @@ def _postings(width: int, percent: int, shared):
 
 
 def _verified(pairs: DataFrame, rows: int, reps: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets reach the similarity; texts are read for their nodes only."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "key_id", "digest"), "node")
-    texts = own.join(maybe_broadcast(needed, 2 * rows, 64), "key_id").select("node", "digest", "text")
+    """The pairs(a, b) whose sets reach the similarity. The texts of a go to those of b; sets are made on arrival.
 
-    def run(batches):
+    A doc_id may have several texts, so the digest tells the right one; of repeated rows of b one is enough.
+    """
+    known = reps.select("node", "key_id", "digest")
+    asked = pairs.join(known.withColumnsRenamed({"node": "a", "digest": "da"}), "a")
+    left = own.join(maybe_broadcast(asked, rows, 80), "key_id").select("a", "b", "da", F.col("text").alias("x"))
+    leads = pairs.select("b").distinct().join(known.withColumnsRenamed({"node": "b", "digest": "db"}), "b")
+    right = own.join(maybe_broadcast(leads, rows, 80), "key_id").select("b", "db", F.col("text").alias("y"))
+
+    def right_ones(batches):
         for batch in batches:
-            nodes, digests, texts = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(nodes), 500):
-                found = [(n, s) for n, d, t in zip(nodes[at : at + 500], digests[at : at + 500], texts[at : at + 500], strict=True) if _digest(s := shingle_set(t, width)) == d]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["node", "tokens"])
+            good = [_digest(s) == d for d, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist(), width), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-    sets = written(texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    right = right.mapInArrow(right_ones, right.schema).dropDuplicates(["b"])
 
     def compare(batches):
+        last, other = None, None
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            names = batch.column(1).to_pylist()
             good = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            for i, (b, d, s) in enumerate(zip(names, batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist(), width), strict=True)):
+                if _digest(s) != d:
+                    good.append(False)
+                    continue
+                if b != last:
+                    last, other = b, next(iter(shingle_sets([batch.column(4)[i].as_py()], width)))
+                both = len(np.intersect1d(s, other, assume_unique=True))
+                good.append(100 * both >= percent * (len(s) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    full = left.join(right, "b").select("a", "b", "da", "x", "y")
     return written(full.mapInArrow(compare, "a long, b long"), "links")
 
 
+def _folded(x: Column, size: Column) -> Column:
+    """A bitmap of longs at size longs, itself or half of its own; sets within a link's lengths differ by no more."""
+    half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(x) > size, half).otherwise(x)
+
+
 def _distance_bound(x: Column, y: Column) -> Column:
-    """Differing bits of two parity bitmaps, held as eight longs each."""
-    total = F.lit(0)
-    for i in range(PARITY_BITS // 64):
-        total = total + F.bit_count(x[i].bitwiseXOR(y[i]))
-    return total
+    """Differing bits of two parity bitmaps, compared at the smaller size."""
+    size = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(_folded(x, size), _folded(y, size), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that lengths and parity bitmaps do not rule out; no link is lost."""
+    sides = [reps.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
+    marked = pairs.join(sides[0], "a").join(sides[1], "b")
+    lengths = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # Lengths come first: bitmaps of other lengths may not fold onto each other.
+    differ = _distance_bound(F.col("bits_a"), F.col("bits_b")) * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return marked.filter(F.when(lengths, differ).otherwise(F.lit(False))).select("a", "b")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -188,7 +220,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = spark.sparkContext.broadcast(frequency_levels(counts.ravel()).tobytes())
 
     # One number for each class of equal sets; salted anew in the unlikely case that two share it.
-    bitmap = F.transform(F.sequence(F.lit(0), F.lit(PARITY_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("data"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    bitmap = F.transform(F.sequence(F.lit(0), (F.length("data") / 8 - 1).cast("int")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     far = F.lit(2**63 - 1)
     salt = 0
     while True:
@@ -204,25 +236,30 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Copies post nothing: only the text of a class's first document is indexed, once.
     reps_n = reps.count()
     first = maybe_broadcast(reps.select("node", "key_id"), reps_n, 32)
-    postings = written(keyed.join(first, "key_id").select("node", "text").mapInArrow(_postings(width, percent, shared), "key long, node long"), "postings")
+    postings = keyed.join(first, "key_id").select("node", "text").mapInArrow(_postings(width, percent, shared), "key long, node long")
+    if members.filter("n > 0").withColumn("key_id", F.coalesce("doc_id", far)).join(first, "key_id").count() > reps_n:
+        postings = postings.distinct()  # a doc_id with several rows posts its keys more than once
+    postings = written(postings, "postings")
     met = written(postings.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead"), "keys")
     met_n = met.count()
-    held = written(postings.join(maybe_broadcast(met, met_n, 32), "key").distinct().join(reps.select("node", "n"), "node"), "held")
+    held = written(postings.join(maybe_broadcast(met, met_n, 32), "key").join(maybe_broadcast(reps.select("node", "n"), reps_n, 32), "node"), "held")
 
     votes = held.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    pairs = written(votes.select(F.col("node").alias("a"), F.col("lead").alias("b")), "pairs")
+    pairs = written(_possible(votes.select(F.col("node").alias("a"), F.col("lead").alias("b")), reps, percent), "pairs")
     links = _verified(pairs, pairs.count(), reps, keyed, width, percent)
     joined = written(components(links), "components")
 
-    known = held.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    rest = written(known.join(open_keys, "key").select("key", "node", "n", "label", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "open")
-    left = rest.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("l"))
+    known = held.join(maybe_broadcast(joined, joined.count(), 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x < y").select("key", "rows")
+    open_keys = written(open_keys, "open_keys")
+    # Postings of many rows meet by bands of length, in which partners are one band apart at most.
+    band = F.when(F.col("rows") > BANDED, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")).otherwise(F.lit(-9))
+    rest = written(known.join(maybe_broadcast(open_keys, open_keys.count(), 32), "key").select("key", "node", "n", "label", band.alias("band")), "open")
+    near_bands = F.when(F.col("band") == -9, F.array("band")).otherwise(F.array(F.col("band") - 1, "band", F.col("band") + 1))
+    left = rest.select("key", F.explode(near_bands).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("l"))
     right = rest.select("key", "band", F.col("node").alias("b"), F.col("n").alias("k"), F.col("label").alias("r"))
     across = left.join(right, ["key", "band"]).filter((F.col("l") < F.col("r")) & (100 * F.least("m", "k") >= percent * F.greatest("m", "k"))).select("a", "b").distinct()
-    marked = across.join(reps.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("k")), "b")
-    close = marked.filter(_distance_bound(F.col("x"), F.col("y")) * (100 + percent) <= (100 - percent) * (F.col("m") + F.col("k")))
-    pairs = written(close.select("a", "b"), "pairs")
+    pairs = written(_possible(across, reps, percent), "pairs")
     found = pairs.count()
     if found:
         more = _verified(pairs, found, reps, keyed, width, percent)

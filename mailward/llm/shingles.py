@@ -30,10 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z taken as a-z."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    out, at = [], 0
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the offset of each word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z taken as a-z."""
+    raw = np.frombuffer(data, np.uint8)
+    out, offsets, at = [], [], 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         while end < len(raw) and not _IS_SPACE[raw[end]]:
@@ -44,25 +44,51 @@ def word_hashes(text: str) -> np.ndarray:
         first[1:] &= space[:-1]
         starts = np.flatnonzero(first)
         if len(starts):
-            place = np.arange(len(b))
-            place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
-            values = _LETTERS[b]
-            values[space] = 0
-            place[space] = 0
+            body = b[starts[0] :]
+            place = np.arange(len(body)) - np.repeat(starts - starts[0], np.diff(starts, append=len(b)))
+            values = _LETTERS[body]
+            values[space[starts[0] :]] = 0
             values *= _power(int(place.max()) + 1)[place]
-            out.append(np.add.reduceat(values, starts))
+            out.append(np.add.reduceat(values, starts - starts[0]))
+            offsets.append(starts + at)
         at = end
-    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return mix(np.concatenate(out)), np.concatenate(offsets)
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of width words; fewer words count as one run, no word as none."""
-    words = word_hashes(text or "")
-    n = len(words)
-    if not n:
-        return words
-    span = min(width, n)
-    h = np.full(n - span + 1, span, np.uint64)
+def _runs(words: np.ndarray, span: int) -> np.ndarray:
+    n = max(0, len(words) - span + 1)
+    h = np.full(n, span, np.uint64)
     for i in range(span):
-        h = mix((h + words[i : n - span + 1 + i]) * _BASE + np.uint64(i + 1))
-    return np.unique(h)
+        h = mix((h + words[i : n + i]) * _BASE + np.uint64(i + 1))
+    return h
+
+
+def shingle_sets(texts: list[str | None], width: int, group: int = 1 << 20):
+    """For each text the sorted distinct hashes of all runs of width words; fewer words count as one run, no word as none.
+
+    Texts are hashed together in groups of about so many bytes.
+    """
+    held: list[bytes] = []
+    size = 0
+
+    def flush():
+        ends = np.cumsum([len(t) + 1 for t in held])
+        words, offsets = word_hashes(b" ".join(held))
+        cuts = np.searchsorted(offsets, np.concatenate([[0], ends]))
+        runs = _runs(words, width)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= width:
+                yield np.unique(runs[a : b - width + 1])
+            else:
+                yield _runs(words[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= group:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
