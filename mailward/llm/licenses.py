@@ -17,6 +17,8 @@ repeated rows and ties need no rule. An empty table gives an empty result. Extra
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,20 @@ RARE = 3
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def lowered(text: Column) -> Column:
+    """A-Z as a-z; null as empty. Other letters may change too, but never into or out of ASCII.
+
+    Words are only counted and compared with ASCII words, so that changes no result. The two letters whose
+    lower case holds an ASCII letter are left alone, in the slower letter-by-letter form.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    odd = F.contains(whole, F.lit("\u212a")) | F.contains(whole, F.lit("\u0130"))
+    return F.when(odd, F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(whole))
+
+
 def spaced_words(text: Column) -> Column:
     """`` w1  w2  w3 ``: the words of a text, each between two spaces of its own; empty without words."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    inner = F.trim(F.regexp_replace(lower, _NOT_WORD, "  "))
+    inner = F.trim(F.regexp_replace(lowered(text), _NOT_WORD, "  "))
     return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
@@ -85,9 +97,9 @@ def _last(spaced: Column, phrase: str) -> Column:
 def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """In how many documents each word of the templates occurs; one aggregate over all of them."""
     vocabulary = sorted({w for t in templates for w in t.passage.split()})
-    spaced = docs.select(spaced_words(F.col("text")).alias("s"))
-    row = spaced.agg(*[F.count_if(F.contains("s", F.lit(f" {w} "))).alias(f"w{i}") for i, w in enumerate(vocabulary)]).first()
-    return {w: int(row[i]) for i, w in enumerate(vocabulary)}
+    own = F.array_intersect(F.split(lowered(F.col("text")), _NOT_WORD), F.array(*[F.lit(w) for w in vocabulary]))
+    found = docs.select(F.explode(own).alias("word")).groupBy("word").count().collect()  # a row a word of the templates
+    return dict.fromkeys(vocabulary, 0) | {r["word"]: int(r["count"]) for r in found}
 
 
 def rare_words(template: Template, frequencies: dict[str, int]) -> list[tuple[str, int]]:
@@ -108,7 +120,8 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates=TEMPLATES) -> D
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced_words(F.col("text")).alias("s"))
     # One scan decides which documents hold a base phrase or a rare word combination; most hold none.
     index = [(t, rare_words(t, frequencies)) for t in templates]
-    maybe = [F.forall(F.array(*[F.contains(s, F.lit(f" {w} ")) for w, _ in rare]), lambda x: x) for _, rare in index]
+    # The rarest word comes first, so most documents are ruled out by one search a template.
+    maybe = [reduce(and_, [F.contains(s, F.lit(f" {w} ")) for w, _ in rare]) for _, rare in index]
     any_base = F.contains(s, F.lit(_needle("cc by"))) | F.contains(s, F.lit(_needle("general public license"))) | F.contains(s, F.lit(_needle("all rights reserved")))
     flagged = wide.select("doc_id", "s", any_base.alias("based"), F.array(*maybe).alias("maybe"))
     words = F.split(F.trim(s), "  ")
