@@ -11,9 +11,11 @@ both, so no link is lost.
 
 Candidates are verified on whole sets, in two steps that never list all pairs of a group. Each node is
 first checked against one node that leads its postings, which joins groups of near copies into
-components. Afterwards only postings that still hold several components give pairs, and only across
-components and within the lengths that a link allows; parity bitmaps, whose distance never exceeds that
-of the sets, drop pairs before their texts are read.
+components. Afterwards only postings that still hold several components are compared, in cells of bounded
+size, across components and within the lengths that a link allows; parity bitmaps, whose distance never
+exceeds that of the sets, rule pairs out inside a cell, before a pair is written or a text is read. Rounds
+in which each node is verified with its nearest partner of another component come first, since they join
+what is left of large groups with few pairs; the last round verifies all pairs that remain.
 
 Frequencies come from a histogram of all tokens over hash buckets of fixed number (a bounded array, also
 when it is broadcast). It only decides the order of tokens, never a result.
@@ -44,6 +46,8 @@ FREQUENT = 32
 PARITY_BITS = 512
 #: Postings with more rows are split into bands of length.
 BANDED = 64
+#: Rows of one block of a posting.
+BLOCK_ROWS = 512
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -207,6 +211,95 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return marked.filter(F.when(lengths, differ).otherwise(F.lit(False))).select("a", "b")
 
 
+def _close(node, label, n, words, flat, percent: int):
+    """(a, b, differing bits) arrays of one cell's pairs of different labels that lengths and bitmaps do not rule out."""
+    at = np.cumsum(words) - words
+    sizes = np.unique(words)
+    for w in sizes:
+        own = np.flatnonzero(words == w)
+        x = flat[at[own][:, None] + np.arange(w)]
+        for v in sizes[sizes >= w]:
+            other = np.flatnonzero(words == v)
+            y = flat[at[other][:, None] + np.arange(v)]
+            while y.shape[1] > w:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            for c in range(0, len(own), 128):
+                p = own[c : c + 128]
+                n_a, n_b, l_a, l_b = n[p][:, None], n[other], label[p][:, None], label[other]
+                # Of the same size each pair stands in both triangles; labels pick one of them.
+                good = (l_a < l_b if v == w else l_a != l_b) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+                i, j = np.nonzero(good)
+                for k in range(0, len(i), 1 << 14):
+                    f, g = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    apart = np.bitwise_count(x[c : c + 128][f] ^ y[g]).sum(1, dtype=np.int64)
+                    kept = apart * (100 + percent) <= (100 - percent) * (n[p[f]] + n[other[g]])
+                    yield node[p[f[kept]]], node[other[g[kept]]], apart[kept]
+
+
+def _nearest(one, two, apart):
+    """For each node of the pairs the one that differs least, ties to the smaller partner."""
+    a, b, d = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([apart, apart])
+    order = np.lexsort((b, d, a))
+    first = order[np.flatnonzero(np.diff(a[order], prepend=a[order[0]] - 1 if a[order[0]] > -(2**63) else 0))]
+    return a[first], b[first], d[first]
+
+
+def _cells(percent: int, nearest: bool):
+    """Pairs of each cell, all or each node's nearest; rows arrive sorted by cell, and the last cell of a batch waits for the next one."""
+
+    def run(batches):
+        held = None
+
+        def compare(parts, upto):
+            cell, node, label, n, words, flat = parts
+            starts = np.flatnonzero(np.diff(cell[:upto], prepend=cell[0] - 1 if cell[0] > -(2**63) else 1))
+            ends = np.append(starts[1:], upto)
+            at = np.concatenate([[0], np.cumsum(words)])
+            found = [pair for s, e in zip(starts, ends, strict=True) if e - s > 1 for pair in _close(node[s:e], label[s:e], n[s:e], words[s:e], flat[at[s] : at[e]], percent)]
+            if found:
+                one, two, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+                if nearest and len(one):
+                    one, two, apart = _nearest(one, two, apart)
+                both = np.unique(np.stack([one, two, apart], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, i]) for i in range(3)], names=["a", "b", "apart"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(4)
+            parts = [*(batch.column(i).to_numpy() for i in range(4)), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)]
+            held = parts if held is None else [np.concatenate(z) for z in zip(held, parts, strict=True)]
+            last = int(np.flatnonzero(held[0] != held[0][-1]).max(initial=-1)) + 1
+            if last:
+                yield from compare(held, last)
+                cut = int(held[4][:last].sum())
+                held = [*(h[last:] for h in held[:5]), held[5][cut:]]
+        if held is not None:
+            yield from compare(held, len(held[0]))
+
+    return run
+
+
+def _across(rest: DataFrame, reps: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct candidate pairs(a, b) with different labels of the postings rest(key, node, n, label, rows): all, or each node's nearest.
+
+    Postings are compared in cells of bounded size: those of many rows are cut into bands of length, where
+    partners are one band apart at most, and into blocks of nodes, of which every two meet in one cell. A cell
+    compares bitmaps and gives only the pairs that these do not rule out.
+    """
+    width = reps.agg(F.sum(F.size("bits") * 8 + 32)).first()[0] or 0
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    bands = F.when(F.col("rows") > BANDED, F.array(band, band + 1)).otherwise(F.array(F.lit(-9)))
+    count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("long")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), count)).withColumn("band", F.explode(bands)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    cell = F.xxhash64("key", "band", F.least("block", "other"), F.greatest("block", "other"))
+    rows = dealt.select(cell.alias("cell"), "node", "label", "n").join(maybe_broadcast(reps.select("node", "bits"), 1, width), "node").select("cell", "node", "label", "n", "bits")
+    met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(percent, nearest), "a long, b long, apart long")
+    if nearest:
+        met = met.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select(F.greatest("a", "best.b").alias("x"), F.least("a", "best.b").alias("b")).withColumnRenamed("x", "a")
+    return met.select("a", "b").distinct()
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...)."""
     spark = docs.sparkSession
@@ -249,21 +342,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _verified(pairs, pairs.count(), reps, keyed, width, percent)
     joined = written(components(links), "components")
 
-    known = held.join(maybe_broadcast(joined, joined.count(), 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x < y").select("key", "rows")
-    open_keys = written(open_keys, "open_keys")
-    # Postings of many rows meet by bands of length, in which partners are one band apart at most.
-    band = F.when(F.col("rows") > BANDED, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")).otherwise(F.lit(-9))
-    rest = written(known.join(maybe_broadcast(open_keys, open_keys.count(), 32), "key").select("key", "node", "n", "label", band.alias("band")), "open")
-    near_bands = F.when(F.col("band") == -9, F.array("band")).otherwise(F.array(F.col("band") - 1, "band", F.col("band") + 1))
-    left = rest.select("key", F.explode(near_bands).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("l"))
-    right = rest.select("key", "band", F.col("node").alias("b"), F.col("n").alias("k"), F.col("label").alias("r"))
-    across = left.join(right, ["key", "band"]).filter((F.col("l") < F.col("r")) & (100 * F.least("m", "k") >= percent * F.greatest("m", "k"))).select("a", "b").distinct()
-    pairs = written(_possible(across, reps, percent), "pairs")
-    found = pairs.count()
-    if found:
+    # Rounds of nearest partners join what is left of groups, a pair a node at most; the last round tries every pair.
+    nearest, last = True, False
+    while not last:
+        last = not nearest
+        known = held.join(maybe_broadcast(joined, joined.count(), 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # Keys with the very same nodes ask the same questions; one of them is enough.
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+        open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"), *marks).filter("x < y")
+        open_keys = written(open_keys.groupBy("x", "y", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rows"), "open_keys")
+        pairs = written(_across(known.join(maybe_broadcast(open_keys, open_keys.count(), 32), "key"), reps, percent, nearest), "pairs")
+        found = pairs.count()
+        if not found:
+            break
         more = _verified(pairs, found, reps, keyed, width, percent)
-        joined = written(components(links.unionByName(more)), "components")
+        links = links.unionByName(more)
+        joined = written(components(links), "components")
+        # While a quarter of the nearest partners are links, groups shrink by a constant share a round.
+        nearest = nearest and 4 * more.count() >= found
 
     named = reps.select("node", "key_id").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("key_id").alias("component"))
