@@ -54,6 +54,10 @@ def frame(doc_id: int, ids: np.ndarray) -> bytes:
     return size + _CRC.pack(masked_crc(size)) + payload + _CRC.pack(masked_crc(payload))
 
 
+def index_entry(doc_id: int, offset: int, ids: int) -> bytes:
+    return _INDEX.pack(doc_id, offset, ids)
+
+
 def read_record(file) -> tuple[int, np.ndarray] | None:
     """(doc_id, ids) of the next record; None at the end. Raises ValueError on damage."""
     size = file.read(12)
@@ -164,7 +168,7 @@ def write_records(docs: DataFrame, folder: str, path: str, partitions: int | Non
                 for key, ids in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
                     data = frame(_NO_ID if key is None else key, ids)
                     out.write(data)
-                    index.write(_INDEX.pack(_NO_ID if key is None else key, offset, len(ids)))
+                    index.write(index_entry(_NO_ID if key is None else key, offset, len(ids)))
                     offset, records, total = offset + len(data), records + 1, total + len(ids)
         if out is not None:
             out.close()
