@@ -11,7 +11,8 @@ list, and each round adds a keyed function of one half to the other, modulo its
 walking repeats the permutation until the result passes the same validation.
 
 Defined results. A null text stays null and an empty one empty. Of overlapping finds the earliest, then
-longest one counts. Values that fail validation stay as they are. All other columns pass through.
+longest one counts. A date with two leading digits is day first where it can be, else month first; the time
+of a timestamp stays. Values that fail validation stay as they are. All other columns pass through.
 """
 
 from __future__ import annotations
@@ -107,12 +108,16 @@ def _card(m, f, back):
     d = _digits(m.group())
     if not luhn(d) or len(set(d)) == 1:
         return None
-    # The first places are permuted and the check digit follows from them.
-    body = f.walk(d[:-1], [10] * (len(d) - 1), "card", lambda p: p[0] != 0 and len(set(p)) > 1, back) if d[0] else None
-    if body is None:
-        return None
-    check = next(c for c in range(10) if luhn([*body, c]))
-    return _filled(m.group(), [*body, check])
+
+    def whole(body):
+        return [*body, next(c for c in range(10) if luhn([*body, c]))]
+
+    # The first places are permuted and the check digit follows from them. A leading zero stays one.
+    if d[0]:
+        body = f.walk(d[:-1], [10] * (len(d) - 1), "card", lambda p: p[0] != 0 and len(set(whole(p))) > 1, back)
+    else:
+        body = [0, *f.walk(d[1:-1], [10] * (len(d) - 2), "card0", lambda p: any(p), back)]
+    return _filled(m.group(), whole(body))
 
 
 def _iban(m, f, back):
@@ -139,9 +144,13 @@ def _ssn(m, f, back):
     return _filled(m.group(), f.walk(d, [10] * 9, "ssn", valid, back)) if valid(d) else None
 
 
+#: A country code: up to its separator, or by the leading digits that tell its length.
+_COUNTRY = re.compile(r"\+(?:[0-9]{1,3}[ .-]|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+
+
 def _phone(m, f, back):
     text = m.group()
-    cut = re.match(r"\+\d{1,3}[ .-]", text)
+    cut = _COUNTRY.match(text)
     head = cut.group() if cut else ""
     d = _digits(text[len(head) :])
     if not 7 <= len(d) <= 14:
@@ -164,24 +173,47 @@ _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 def _date(m, f, back):
     parts = re.split(r"([-/.])", m.group())
+
+    def day_of(order):
+        try:
+            day = (date(*(int(parts[i]) for i in order)) - _FIRST).days
+        except ValueError:
+            return None
+        return day if 0 <= day < _DAYS else None
+
+    # Month first only where day first is no date; such dates, with days above 12, are a domain of their own.
     order = (0, 2, 4) if len(parts[0]) == 4 else (4, 2, 0)
-    try:
-        day = (date(*(int(parts[i]) for i in order)) - _FIRST).days
-    except ValueError:
+    day, least = day_of(order), 1
+    if day is None and order[0] == 4:
+        order, least = (4, 0, 2), 13
+        day = day_of(order)
+    if day is None:
         return None
-    if not 0 <= day < _DAYS:
-        return None
-    a, b = f.walk([day // 256, day % 256], [_DAYS // 256 + 1, 256], "date", lambda p: p[0] * 256 + p[1] < _DAYS, back)
+
+    def valid(p):
+        n = p[0] * 256 + p[1]
+        return n < _DAYS and (least == 1 or (_FIRST + timedelta(n)).day >= least)
+
+    a, b = f.walk([day // 256, day % 256], [_DAYS // 256 + 1, 256], "date", valid, back)
     new = _FIRST + timedelta(a * 256 + b)
     for i, v in zip(order, (new.year, new.month, new.day), strict=True):
         parts[i] = f"{v:0{4 if i == order[0] else 2}d}"
     return "".join(parts)
 
 
+_HEX, _HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
+
+
 def _secret(m, f, back):
     text = m.group()
     if re.fullmatch("[0-9a-f]+", text):
-        return _letters(text, f, "secret", back, ("0123456789abcdef",))
+        return _letters(text, f, "secret", back, (_HEX,))
+    if len(text) in (32, 40, 64) and re.fullmatch("[0-9A-F]+", text):
+        # At least one letter stays, as a text of digits alone counts as lower case.
+        new = f.walk([_HEX_UPPER.index(c) for c in text], [16] * len(text), "secret", lambda p: max(p) > 9, back)
+        return "".join(_HEX_UPPER[v] for v in new)
+    if len(text) in (32, 40, 64) and re.fullmatch("[0-9A-Fa-f]+", text):
+        return _letters(text, f, "secret", back, ("0123456789", "abcdef", "ABCDEF"))
     return _letters(text, f, "secret", back)
 
 
@@ -191,13 +223,13 @@ def _pattern() -> re.Pattern:
     edge, end = r"(?<![0-9A-Za-z.+/-])", r"(?![0-9A-Za-z])"
     kinds = {
         "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-        "secret": rf"(?<![A-Za-z0-9])(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}}){end}|(?<=\bAKIA)[A-Z0-9]{{16}}{end}|(?<=\bghp_)[A-Za-z0-9]{{36}}{end}|(?<=\bsk-)[A-Za-z0-9]{{20,64}}{end}",
+        "secret": rf"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{{64}}|[0-9A-Fa-f]{{40}}|[0-9A-Fa-f]{{32}}){end}|(?<=\bAKIA)[A-Z0-9]{{16}}{end}|(?<=\bghp_)[A-Za-z0-9]{{36}}{end}|(?<=\bsk-)[A-Za-z0-9]{{20,64}}{end}",
         "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{end}",
         "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-        "date": rf"{edge}(?:[0-9]{{4}}(?P<s1>[-/.])[0-9]{{2}}(?P=s1)[0-9]{{2}}|[0-9]{{2}}(?P<s2>[-/.])[0-9]{{2}}(?P=s2)[0-9]{{4}})(?![0-9A-Za-z/-])",
+        "date": rf"{edge}(?:[0-9]{{4}}(?P<s1>[-/.])[0-9]{{2}}(?P=s1)[0-9]{{2}}(?:(?=T[0-9]{{2}}:?[0-9]{{2}})|(?![0-9A-Za-z/-]))|[0-9]{{2}}(?P<s2>[-/.])[0-9]{{2}}(?P=s2)[0-9]{{4}}(?![0-9A-Za-z/-]))",
         "ssn": rf"{edge}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
         "card": rf"{edge}[0-9](?:[ -]?[0-9]){{12,18}}{end}",
-        "phone": rf"{edge}(?:\+[0-9]{{1,3}}[ .-](?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,4}}|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-.])?[0-9]{{3}}-[0-9]{{4}})(?![0-9A-Za-z-])",
+        "phone": rf"{edge}(?:\+[0-9]{{1,3}}[ .-](?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,4}}|\+[0-9]{{1,3}}[ .-]?[0-9]{{7,12}}|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-.])?[0-9]{{3}}-[0-9]{{4}})(?![0-9A-Za-z-])",
     }
     return re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()), re.ASCII)
 

@@ -29,3 +29,26 @@ def test_frames(spark):
     got = {r.text for r in pseudonymise_texts(docs).collect()}
     assert {None, "", "none here 12", pseudonymise(TEXT, Feistel(b"replace this key in production"))[0]} == got
     assert pseudonymise_texts(docs.limit(0)).count() == 0
+
+
+def test_more_notations():
+    f = Feistel(b"k")
+    upper, mixed = "9233A8EC" * 4 + "0123ABCD", "9233A8ec" * 4
+    values = [upper, mixed, "0000000000000018", "12/25/1999", "2024-01-15", "+15551234567", "+4930123456789", "+1 5551234567"]
+    text = f'TOKEN = "{upper}" {mixed}, 0000000000000018. 12/25/1999 2024-01-15T10:00:00Z +15551234567, +4930123456789, +1 5551234567.'
+    new, spans = pseudonymise(text, f)
+    assert [k for k, _, _ in spans] == ["secret", "secret", "card", "date", "date", "phone", "phone", "phone"]
+    got = [new[a:b] for _, a, b in spans]
+    assert all(g != v and len(g) == len(v) for g, v in zip(got, values, strict=True))
+    assert re.fullmatch("[0-9A-F]{40}", got[0]) and re.fullmatch("[0-9A-Fa-f]{32}", got[1])
+    assert got[2][0] == "0" and luhn([int(c) for c in got[2]])
+    assert 1 <= int(got[3][:2]) <= 12 < int(got[3][3:5]) and "T10:00:00Z" in new
+    assert got[5][:2] == "+1" and got[6][:3] == "+49" and got[5][2:] == got[7][3:]
+    assert pseudonymise(new, f, back=True)[0] == text
+
+
+def test_cards_of_one_digit_but_the_last_stay_apart():
+    f = Feistel(b"k")
+    text = "1111111111111117"
+    new, spans = pseudonymise(text, f)
+    assert len(spans) == 1 and new != text and pseudonymise(new, f, back=True)[0] == text
