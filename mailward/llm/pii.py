@@ -10,8 +10,12 @@ A format is a list of radices, one for each changeable place; separators stay. T
 list, and each round adds a keyed function of one half to the other, modulo its radix product. Cycle
 walking repeats the permutation until the result passes the same validation.
 
-Defined results. A null text stays null and an empty one empty. Of overlapping finds the earliest, then
-longest one counts. A date with two leading digits is day first where it can be, else month first; the time
+Undoing goes by the recorded finds (``restored``) and is exact. ``back`` searches the text anew, which may
+read digits beside a value differently: a card number before a free group of digits may pass with it.
+
+Defined results. A null text stays null and an empty one empty. Of overlapping finds the earliest counts; at
+one place the first valid one of: the whole pattern, the other kinds' patterns, and shorter readings, longest
+first. After a place without a valid one the search goes on behind its first token. A date with two leading digits is day first where it can be, else month first; the time
 of a timestamp stays. Values that fail validation stay as they are. All other columns pass through.
 """
 
@@ -219,35 +223,90 @@ def _secret(m, f, back):
 
 _RULES = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "date": _date, "secret": _secret}
 
-def _pattern() -> re.Pattern:
+def _patterns() -> dict[str, str]:
     edge, end = r"(?<![0-9A-Za-z.+/-])", r"(?![0-9A-Za-z])"
-    kinds = {
+    return {
         "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
         "secret": rf"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{{64}}|[0-9A-Fa-f]{{40}}|[0-9A-Fa-f]{{32}}){end}|(?<=\bAKIA)[A-Z0-9]{{16}}{end}|(?<=\bghp_)[A-Za-z0-9]{{36}}{end}|(?<=\bsk-)[A-Za-z0-9]{{20,64}}{end}",
         "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{end}",
         "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
         "date": rf"{edge}(?:[0-9]{{4}}(?P<s1>[-/.])[0-9]{{2}}(?P=s1)[0-9]{{2}}(?:(?=T[0-9]{{2}}:?[0-9]{{2}})|(?![0-9A-Za-z/-]))|[0-9]{{2}}(?P<s2>[-/.])[0-9]{{2}}(?P=s2)[0-9]{{4}}(?![0-9A-Za-z/-]))",
         "ssn": rf"{edge}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
-        "card": rf"{edge}[0-9](?:[ -]?[0-9]){{12,18}}{end}",
         "phone": rf"{edge}(?:\+[0-9]{{1,3}}[ .-](?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,4}}|\+[0-9]{{1,3}}[ .-]?[0-9]{{7,12}}|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-.])?[0-9]{{3}}-[0-9]{{4}})(?![0-9A-Za-z-])",
+        "card": rf"{edge}[0-9](?:[ -]?[0-9]){{12,18}}{end}",
     }
-    return re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()), re.ASCII)
 
 
-_FOUND = _pattern()
+_PATTERNS = _patterns()
+_FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()), re.ASCII)
+_ONE = {k: re.compile(p, re.ASCII) for k, p in _PATTERNS.items()}
+#: Kinds whose pattern may run on into what follows a value.
+_OPEN = ("iban", "phone", "card")
+_TOKEN = re.compile(r"[0-9A-Za-z]+")
 _MAYBE = re.compile(r"[0-9@]")
 
 
+def _shorter(kind: str, text: str, m: re.Match):
+    """Readings of the kind at the start of m that end at an earlier token of it, longest first."""
+    for end in reversed([t.end() for t in _TOKEN.finditer(text, m.start(), m.end())][:-1]):
+        part = _ONE[kind].fullmatch(text, m.start(), end)
+        if part and not (kind == "phone" and text[end] == "-"):
+            yield kind, part
+
+
+def _card_inside(text: str, m: re.Match) -> int:
+    """Where a valid card number starts inside m, behind its first token, and runs on beyond its end; else 0."""
+    for t in list(_TOKEN.finditer(text, m.start(), m.end()))[1:]:
+        card = _ONE["card"].match(text, t.start())
+        if card and any(p.end() > m.end() and luhn(_digits(p.group())) for _, p in [("card", card), *_shorter("card", text, card)]):
+            return t.start()
+    return 0
+
+
+def _readings(text: str, m: re.Match):
+    """(kind, match) of what may stand at the start of m: its own kind, then the others, then shorter values."""
+    start, first = m.start(), next(k for k in KINDS if m.group(k) is not None)
+    if first == "phone" and text[start] == "+" and (cut := _card_inside(text, m)):
+        # A telephone number has no check digit, so it ends before a card number that it would cut.
+        yield from (r for r in _shorter("phone", text, m) if r[1].end() <= cut)
+    yield first, m
+    whole = {first: m} | {k: o for k in _PATTERNS if k != first and (o := _ONE[k].match(text, start))}
+    yield from list(whole.items())[1:]
+    for kind in _OPEN:
+        if kind in whole:
+            yield from _shorter(kind, text, whole[kind])
+
+
+def _next_find(text: str, at: int, feistel: Feistel, back: bool):
+    """(kind, match, permuted value) of the first valid value from at onwards, or None."""
+    while m := _FOUND.search(text, at):
+        for kind, part in _readings(text, m):
+            new = _RULES[kind](part, feistel, back)
+            if new is not None:
+                return kind, part, new
+        at = _TOKEN.search(text, m.start()).end()
+    return None
+
+
+_ANY = re.compile(".*", re.DOTALL)
+
+
+def restored(text: str | None, spans: list[tuple[str, int, int]], feistel: Feistel) -> str | None:
+    """The original of a pseudonymised text by its recorded finds."""
+    out, at = [], 0
+    for kind, start, end in spans:
+        out += [text[at:start], _RULES[kind](_ANY.fullmatch(text, start, end), feistel, True)]
+        at = end
+    return "".join([*out, text[at:]]) if spans else text
+
+
 def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with all finds permuted, and (kind, start, end) of each in the result."""
     if not text or not _MAYBE.search(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _FOUND.finditer(text):
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        new = _RULES[kind](m, feistel, back)
-        if new is None:
-            continue
+    while found := _next_find(text, at, feistel, back):
+        kind, m, new = found
         out += [text[at : m.start()], new]
         size += m.start() - at + len(new)
         spans.append((kind, size - len(new), size))

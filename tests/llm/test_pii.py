@@ -1,6 +1,6 @@
 import re
 
-from mailward.llm.pii import Feistel, luhn, pseudonymise, pseudonymise_texts
+from mailward.llm.pii import Feistel, luhn, pseudonymise, pseudonymise_texts, restored
 
 TEXT = "Mail re.46@mail8.example.com or +1 (743) 555-3824, 555-3824; card 4785380592391139 and 4785 3805 9239 1139, not 4785380592391138. IP 152.143.123.131, 300.1.1.1, version 1.2.3. SSN 123-45-6789. On 2024-02-29 or 29/02/2024, not 2023-02-30. DE89 3704 0044 0532 0130 00 end 2321bac4d15ec8f90433955bf9d3cf61da5bdd1e."
 
@@ -52,3 +52,26 @@ def test_cards_of_one_digit_but_the_last_stay_apart():
     text = "1111111111111117"
     new, spans = pseudonymise(text, f)
     assert len(spans) == 1 and new != text and pseudonymise(new, f, back=True)[0] == text
+
+
+def test_adjacent_values():
+    f, card, es = Feistel(b"k"), "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    cases = {
+        f"{card} 123": [("card", card)],
+        f"{card} 12/25": [("card", card)],
+        f"1234 {card}": [("card", card)],
+        "555-123-4567 555-987-6543": [("phone", "555-123-4567"), ("phone", "555-987-6543")],
+        f"{es} PAY NOW": [("iban", es)],
+        f"{es} 2024": [("iban", es)],
+        "DE89370400440532013000 EUR": [("iban", "DE89370400440532013000")],
+        f"AB12 CDEF 1234 {card}": [("card", card)],
+        f"+49 30 1234 5678 {card}": [("phone", "+49 30 1234 5678"), ("card", card)],
+        f"000-12-3456 {card}": [("card", card)],
+    }
+    for n in range(12):
+        cases[f"555-12{n % 10}-4567 555-98{n // 2}-6543"] = [("phone", f"555-12{n % 10}-4567"), ("phone", f"555-98{n // 2}-6543")]
+    for text, values in cases.items():
+        new, spans = pseudonymise(text, f)
+        assert [k for k, _, _ in spans] == [k for k, _ in values], text
+        assert [restored(new[a:b], [(k, 0, b - a)], f) for k, a, b in spans] == [v for _, v in values], text
+        assert restored(new, spans, f) == text and all(v not in new for _, v in values)
