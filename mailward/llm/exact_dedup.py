@@ -25,7 +25,8 @@ from .quotient import CountingQuotientFilter
 #: Fingerprints that one range of the merge should hold.
 RANGE_ROWS = 250_000
 
-_TWO_64 = "18446744073709551616"
+#: Packed doc_ids: 0 to 2^64 - 1 for -2^63 to 2^63 - 1, and 2^64 for null, which so comes last.
+_TWO_64, _TWO_65 = "18446744073709551616", "36893488147419103232"
 
 
 def _filters(bits: int, batch_rows: int = 2_000_000):
@@ -68,6 +69,11 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
 
 def copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text, ...)."""
+    return _sized_groups(docs).drop("chars")
+
+
+def _sized_groups(docs: DataFrame) -> DataFrame:
+    """copy_groups with the length of each text, which tells rows of one doc_id apart."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shown = own.select("doc_id", F.length("text").alias("chars"), without_spaces(F.col("text")).alias("norm"))
     prints = written(
@@ -80,12 +86,16 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     n_again = again.count()
     # Byte verification: only texts whose fingerprint repeats move, grouped by all their bytes. The
     # packed number orders by most code points, then smallest doc_id; it is a plain hash aggregate.
-    packed = F.expr(f"cast(4294967296 - chars as decimal(38,0)) * {_TWO_64} + coalesce(cast(doc_id as decimal(38,0)), 9223372036854775807) + 9223372036854775808")
+    packed = F.expr(f"cast(4294967296 - chars as decimal(38,0)) * {_TWO_65} + coalesce(cast(doc_id as decimal(38,0)) + 9223372036854775808, {_TWO_64})")
     candidates = shown.withColumn("fp", F.xxhash64("norm")).join(maybe_broadcast(again.select("fp"), n_again, 16), "fp")
     verified = (
         candidates.groupBy("fp", "norm")
         .agg(F.min(packed.cast("decimal(38,0)")).alias("best"), F.count(F.lit(1)).alias("n"))
-        .select("fp", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n", F.expr(f"cast(best % {_TWO_64} - 9223372036854775808 as long)").alias("best_id"))
+        .select(
+            "fp", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n",
+            F.expr(f"cast(nullif(best % {_TWO_65}, {_TWO_64}) - 9223372036854775808 as long)").alias("best_id"),
+            F.expr(f"cast(4294967296 - (best - best % {_TWO_65}) / {_TWO_65} as long)").alias("best_chars"),
+        )
         .filter("n > 1")
     )
     verified = written(verified, "verified")
@@ -97,17 +107,19 @@ def copy_groups(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-            (F.coalesce(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("best_id")), F.lit(False)) & (F.col("nth") == 1)).alias("kept"),
+            (F.coalesce(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("chars") == F.col("best_chars")), F.lit(False)) & (F.col("nth") == 1)).alias("kept"),
             F.col("sha").alias("text_sha256"),
+            "chars",
         )
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which copy_groups keeps one for each group of equal texts."""
-    flags = written(copy_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "flags")
+    flags = _sized_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("kept"), F.col("chars"))).alias("__chars"))
+    flags = written(flags, "flags")
     gone = flags.filter("not kept").select("doc_id", "text_sha256")
-    multiple = flags.filter("kept and rows > 1").select("doc_id", "text_sha256")
+    multiple = flags.filter("kept and rows > 1").select("doc_id", "text_sha256", "__chars")
     digest = F.sha2(without_spaces(F.col("text")).cast("binary"), 256)
     n_gone = gone.count()
     keyed = docs.withColumn("__sha", digest)
@@ -120,7 +132,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     n_multiple = multiple.count()
     if n_multiple:
         once = maybe_broadcast(multiple, n_multiple, 128)
-        rows = keyed.join(once, same(once), "left_semi").dropDuplicates(["doc_id", "__sha"])
+        longest = F.length(F.coalesce(keyed["text"], F.lit(""))) == once["__chars"]
+        rows = keyed.join(once, same(once) & longest, "left_semi").dropDuplicates(["doc_id", "__sha"])
         kept = kept.join(once, kept["doc_id"].cast("long").eqNullSafe(once["doc_id"]) & (kept["__sha"] == once["text_sha256"]), "left_anti").unionByName(rows)
     return kept.drop("__sha")
 

@@ -84,16 +84,16 @@ def _summaries(width: int):
                     waiting, waits = [], 0
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary())],
-                names=["block", "doc_id", "n", "digest", "data"],
+                [pa.nulls(n, pa.int32()), keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary()), batch.column(2)],
+                names=["block", "doc_id", "n", "digest", "data", "sha"],
             )
         if waits:
             counts += np.bincount(np.concatenate(waiting), minlength=1 << BUCKET_BITS).astype(np.uint32)
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(parts, pa.binary())],
-                names=["block", "doc_id", "n", "digest", "data"],
+                [pa.array(range(BLOCKS), pa.int32()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(parts, pa.binary()), pa.nulls(BLOCKS, pa.binary())],
+                names=["block", "doc_id", "n", "digest", "data", "sha"],
             )
 
     return run
@@ -300,12 +300,22 @@ def _across(rest: DataFrame, reps: DataFrame, percent: int, nearest: bool) -> Da
     return met.select("a", "b").distinct()
 
 
+def _text_sha(docs: DataFrame) -> Column:
+    return F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...)."""
+    return _named_texts(docs.withColumn("__sha", F.lit(None).cast("binary")), width, percent).drop("text_sha")
+
+
+def _named_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_components of docs(doc_id, text, __sha, ...), with __sha as text_sha: a doc_id may have several texts."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = written(own.mapInArrow(_summaries(width), "block int, doc_id long, n long, digest binary, data binary"), "summaries")
-    members = whole.filter("block is null").select("doc_id", "n", "digest")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sha")
+    whole = written(named.mapInArrow(_summaries(width), "block int, doc_id long, n long, digest binary, data binary, sha binary"), "summaries")
+    members = whole.filter("block is null").select("doc_id", "n", "digest", "sha")
     counts = np.zeros((BLOCKS, (1 << BUCKET_BITS) // BLOCKS), np.uint64)
     blocks = whole.filter("block is not null").select("block", "data").repartition(BLOCKS, "block")
     for block, data in blocks.mapInArrow(_summed, "block int, data binary").collect():  # BLOCKS rows of fixed size
@@ -367,7 +377,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return (
         members.withColumn("node", _node(F.col("digest"), salt))
         .join(maybe_broadcast(owner, reps_n, 32), "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sha").alias("text_sha"))
     )
 
 
@@ -376,10 +386,11 @@ def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     Rows with the same doc_id as their component's smallest all stay, as do texts without shingles.
     """
-    found = near_components(docs, width, percent).filter("component_id < doc_id or doc_id is null and component_id is not null")
-    gone = written(found.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__gone")).distinct(), "gone")
-    side = maybe_broadcast(gone, gone.count(), 16)
-    return docs.join(side, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == side["__gone"], "left_anti")
+    keyed = docs.withColumn("__sha", _text_sha(docs))
+    found = _named_texts(keyed, width, percent).filter("component_id < doc_id or doc_id is null and component_id is not null")
+    gone = written(found.select(F.col("doc_id").alias("__gone"), F.col("text_sha").alias("__gone_sha")).distinct(), "gone")
+    side = maybe_broadcast(gone, gone.count(), 64)
+    return keyed.join(side, keyed["doc_id"].cast("long").eqNullSafe(side["__gone"]) & (keyed["__sha"] == side["__gone_sha"]), "left_anti").drop("__sha")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,19 @@ def test_drop_copies_keeps_rows_whole(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert copy_groups(docs).count() == 0 and drop_copies(docs).count() == 0
+
+
+NULL_IDS = [
+    (None, "all null"), (None, "all  null"), (None, "all null"), (1, "long est"), (None, "long  est"), (None, "lone"),
+    (2**63 - 1, "top"), (None, "top"), (7, "same id"), (7, "same  id"), (-(2**63), "low"), (5, "low"),
+]
+
+
+def test_null_ids_keep_one_of_each_group(spark):
+    docs = spark.createDataFrame(NULL_IDS, "doc_id long, text string").repartition(3)
+    rows = copy_groups(docs).collect()
+    keep = {r.text_sha256: r.keep_id for r in rows}
+    assert [keep[hashlib.sha256(t.encode()).hexdigest()] for t in ("allnull", "longest", "lone", "top", "sameid", "low")] == [None, None, None, 2**63 - 1, 7, -(2**63)]
+    assert sum(r.kept for r in rows) == len(keep) == 6
+    got = sorted(((r.doc_id, r.text) for r in drop_copies(docs).collect()), key=str)
+    assert got == sorted([(None, "all  null"), (None, "long  est"), (None, "lone"), (2**63 - 1, "top"), (7, "same  id"), (-(2**63), "low")], key=str)

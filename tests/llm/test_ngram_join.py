@@ -64,3 +64,12 @@ def test_keeps_one_of_each(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
     assert near_components(docs.limit(0)).count() == 0
+
+
+def test_near_copies_beside_unrelated_rows_of_their_id(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "a"), (None, text + " more", "b"), (None, "quite another text without an id", "c"), (None, "", "d"), (None, None, "e"), (9, text + " end", "f"), (9, "a text of its own", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string")
+    kept = keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.sha for r in kept.collect()) == ["a", "c", "d", "e", "g"]
