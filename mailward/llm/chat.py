@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints (operator 4), in native expressions only.
 
-A record is a JSON text. Its fingerprint is the hash of its nested field paths, types left out. Each known
-layout is declared as the paths that it needs; the mapping of the first layout whose paths a fingerprint's
-set holds is chosen once for each distinct fingerprint, and turns the record into canonical turns of role
-and text. Records of one table may differ in layout and carry fields besides.
+A record is a JSON text. Its fingerprint is the hash of its nested fields of any depth, types left out. Each
+known layout is declared as the paths that it needs; a table of the distinct fingerprints gives each the first
+layout whose paths it holds, and is joined to the records by fingerprint. The layout's mapping turns a record
+into canonical turns of role and text. Records of one table may differ in layout and carry fields besides.
+Other names of roles (human, gpt, bot, model and the like) become user, assistant or system, in any case of
+letters; in ``messages``, whose roles are canonical, and for names not known, roles stay as they are.
 
 The template writes a turn as ``<|turn|>role<|text|>text<|end|>``. A backslash goes into every control
 string inside roles and texts, behind its first character, and every backslash is doubled; so no control
@@ -11,7 +13,7 @@ string of a text survives as one, and removing each escaping backslash gives the
 
 Defined results. Null roles and texts count as empty. Turns are in order of turn, then role, then text,
 null turns first; repeated rows are turns of their own. A record that fits no layout, or is no JSON, has
-no turns. A conversation is one output row, so its turns meet in one task. An empty table gives only the
+no turns and a null layout; ``without_layout`` counts such records by fingerprint. A conversation is one output row, so its turns meet in one task. An empty table gives only the
 rows that the query adds. Extra columns are ignored.
 """
 
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import maybe_broadcast, table, written
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What would end or open a turn, here or in other common templates.
@@ -44,22 +46,55 @@ def _turn(role, text) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _listed(field: str, role: str, text: str):
-    return lambda r: F.transform(F.filter(r[field], lambda m: m.isNotNull()), lambda m: _turn(m[role], m[text]))
+_ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "chatgpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "user": "user", "assistant": "assistant", "system": "system"}
 
 
-def _pair(user: Column, assistant: Column) -> Column:
-    return F.array(_turn(F.lit("user"), user), _turn(F.lit("assistant"), assistant))
+def _canonical(role: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in _ROLES.items() for x in pair])
+    return F.coalesce(F.element_at(names, F.lower(F.trim(role))), role)
+
+
+def _opened(system: Column, turns: Column) -> Column:
+    """turns behind a system turn, if there is a system text."""
+    return F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.array(_turn(F.lit("system"), system)), turns)).otherwise(turns)
+
+
+def _listed(field: str, role: str, text: str, named=_canonical):
+    def turns(r):
+        listed = F.transform(F.filter(r[field], lambda m: m.isNotNull()), lambda m: _turn(named(m[role]), m[text]))
+        return _opened(r["system"], F.coalesce(listed, F.array().cast(_TURNS)))
+
+    return turns
+
+
+def _pair(user: str, assistant: str, context: str | None = None):
+    def turns(r):
+        asked = F.concat_ws("\n", r[user], F.nullif(r[context], F.lit(""))) if context else r[user]
+        system = F.coalesce(F.nullif(r["system"], F.lit("")), r["system_prompt"])
+        return _opened(system, F.array(_turn(F.lit("user"), asked), _turn(F.lit("assistant"), r[assistant])))
+
+    return turns
+
+
+def _strings(*fields: str) -> str:
+    return ", ".join(f"{f} string" for f in (*fields, "system", "system_prompt"))
 
 
 LAYOUTS = (
-    Layout("messages", ("messages", "messages.content", "messages.role"), "messages array<struct<role:string,content:string>>", _listed("messages", "role", "content")),
-    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "conversations array<struct<from:string,value:string>>", _listed("conversations", "from", "value")),
-    Layout("instruction", ("instruction", "output"), "instruction string, input string, output string", lambda r: _pair(F.concat_ws("\n", r["instruction"], F.nullif(r["input"], F.lit(""))), r["output"])),
-    Layout("completion", ("prompt", "completion"), "prompt string, completion string", lambda r: _pair(r["prompt"], r["completion"])),
-    Layout("response", ("prompt", "response"), "prompt string, response string", lambda r: _pair(r["prompt"], r["response"])),
+    Layout("messages", ("messages", "messages.content", "messages.role"), "messages array<struct<role:string,content:string>>, system string", _listed("messages", "role", "content", lambda role: role)),
+    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "conversations array<struct<from:string,value:string>>, system string", _listed("conversations", "from", "value")),
+    Layout("instruction", ("instruction", "output"), _strings("instruction", "input", "output"), _pair("instruction", "output", "input")),
+    Layout("context", ("instruction", "response"), _strings("instruction", "context", "response"), _pair("instruction", "response", "context")),
+    Layout("completion", ("prompt", "completion"), _strings("prompt", "completion"), _pair("prompt", "completion")),
+    Layout("response", ("prompt", "response"), _strings("prompt", "response"), _pair("prompt", "response")),
+    Layout("answer", ("question", "answer"), _strings("question", "context", "answer"), _pair("question", "answer", "context")),
+    Layout("question", ("question", "response"), _strings("question", "context", "response"), _pair("question", "response", "context")),
+    Layout("flat", ("content", "role"), "role string, content string", lambda r: F.array(_turn(_canonical(r["role"]), r["content"]))),
 )
 
+#: A scalar type in the schema of a variant.
+_SCALAR = r"(?<=[<:] ?)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)"
+
 
 def field_paths(record: Column) -> Column:
     """Sorted distinct paths of a JSON text's fields, two levels deep; array elements share their array's path."""
@@ -74,19 +109,42 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(top, inner)))))
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.array_join(paths, "\n"))
+def fingerprint(record: Column, paths: Column) -> Column:
+    """Hash of the paths and of the fields below them; a record with repeated keys counts by its paths."""
+    fields = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), _SCALAR, "")
+    return F.when(paths.isNotNull(), F.xxhash64(F.array_join(paths, "\n"), fields))
+
+
+def layouts(seen: DataFrame) -> DataFrame:
+    """fingerprint, layout, records, example (a record) of each distinct fingerprint of seen(record, __paths, fingerprint)."""
+    known = seen.groupBy("fingerprint").agg(F.min("__paths").alias("paths"), F.count(F.lit(1)).alias("records"), F.min("record").alias("example"))
+    layout = F.lit(None).cast("string")
+    for x in reversed(LAYOUTS):
+        fits = F.coalesce(F.size(F.array_intersect("paths", F.array(*[F.lit(p) for p in x.paths]))) == len(x.paths), F.lit(False))
+        layout = F.when(fits, F.lit(x.name)).otherwise(layout)
+    return known.select("fingerprint", layout.alias("layout"), "records", "example")
+
+
+def _seen(records: DataFrame) -> DataFrame:
+    seen = records.withColumn("__paths", field_paths(F.col("record")))
+    return seen.withColumn("fingerprint", fingerprint(F.col("record"), F.col("__paths")))
+
+
+def without_layout(records: DataFrame) -> DataFrame:
+    """fingerprint, records, example of each fingerprint that fits no layout; null for what is no JSON object."""
+    return layouts(_seen(records)).filter("layout is null").drop("layout")
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
     """records (record, ...) with fingerprint, layout and turns added."""
-    seen = records.withColumn("__paths", field_paths(F.col("record"))).withColumn("fingerprint", fingerprint(F.col("__paths")))
-    layout, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
-    for known in reversed(LAYOUTS):
-        fits = F.coalesce(F.size(F.array_intersect("__paths", F.array(*[F.lit(p) for p in known.paths]))) == len(known.paths), F.lit(False))
-        layout = F.when(fits, F.lit(known.name)).otherwise(layout)
-        turns = F.when(fits, F.coalesce(known.turns(F.from_json("record", known.schema)), F.array().cast(_TURNS))).otherwise(turns)
-    return seen.withColumn("layout", layout).withColumn("turns", turns).drop("__paths")
+    own = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
+    seen = written(_seen(records.select(*own)), "records")
+    known = written(layouts(seen).select("fingerprint", "layout"), "layouts")
+    seen = seen.drop("__paths").join(maybe_broadcast(known, known.count(), 64), "fingerprint", "left")
+    turns = F.array().cast(_TURNS)
+    for x in reversed(LAYOUTS):
+        turns = F.when(F.col("layout") == x.name, F.coalesce(x.turns(F.from_json("record", x.schema)), F.array().cast(_TURNS))).otherwise(turns)
+    return seen.select(*own, "fingerprint", "layout", turns.alias("turns"))
 
 
 def escaped(text: Column) -> Column:

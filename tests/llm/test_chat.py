@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from mailward.llm.chat import canonical_turns, conversation_records, format_chats, parsed, unescaped
+from mailward.llm.chat import canonical_turns, conversation_records, format_chats, parsed, unescaped, without_layout
 
 
 def test_layouts(spark):
@@ -32,3 +32,29 @@ def test_reversible(spark):
     assert "[INST]" not in got[1].formatted and "</s>" not in got[1].formatted
     assert [tuple(t) for t in got[None].t] == [("", "x")]
     assert format_chats(conversation_records(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_foreign_layouts_and_roles(spark):
+    turns = [("user", "a"), ("assistant", "b")]
+    cases = [
+        ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, turns),
+        ({"conversations": [{"from": "User", "value": "a"}, {"from": "model", "value": "b"}], "system": "s"}, [("system", "s"), *turns]),
+        ({"conversations": [{"from": "tool", "value": "a"}, {"from": "bot", "value": "b"}]}, [("tool", "a"), ("assistant", "b")]),
+        ({"instruction": "a", "context": "c", "response": "b"}, [("user", "a\nc"), ("assistant", "b")]),
+        ({"question": "a", "answer": "b"}, turns),
+        ({"system_prompt": "s", "question": "a", "response": "b"}, [("system", "s"), *turns]),
+        ({"role": "human", "content": "a"}, turns[:1]),
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(cases)], "i long, record string")
+    got = {r.i: r for r in canonical_turns(frame).collect()}
+    assert [[tuple(t) for t in got[i].turns] for i in range(len(cases))] == [t for _, t in cases]
+    spans = {r.i: len(r.loss_spans) for r in format_chats(frame).collect()}
+    assert spans == {i: sum(role == "assistant" for role, _ in t) for i, (_, t) in enumerate(cases)}
+
+
+def test_fingerprints_of_any_depth(spark):
+    records = ['{"z": {"a": {"b": {"c": 1}}}}', '{"z": {"a": {"b": {"d": 1}}}}', '{"z": {"a": {"b": {"c": "x"}}}}', "{", '{"z": 1, "z": 2}']
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i long, record string")
+    f = {r.i: r.fingerprint for r in canonical_turns(frame).collect()}
+    assert f[0] == f[2] != f[1] and f[3] is None and f[4] is not None
+    assert sorted(r.records for r in without_layout(frame).collect()) == [1, 1, 1, 2]
