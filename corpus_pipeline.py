@@ -15,6 +15,7 @@ from mailward.llm.langid import keep_identified
 from mailward.llm.ngram_join import keep_one_each
 from mailward.llm.packing import pack_texts
 from mailward.llm.pii import pseudonymise_texts
+from mailward.llm.wordbpe import vocabulary_path
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch_id, slot and padding of every document."""
-    return pack_texts(docs)
+    return pack_texts(docs, vocabulary=vocabulary_path())
 
 
 STAGES = [("language_id", identify), ("exact_dedup", dedup), ("near_duplicates", near_dedup), ("pii", pseudonyms), ("packing", packed)]

@@ -9,6 +9,9 @@ an octave), and boundaries are lengths that occur, so the programme's cost is th
 buckets. A bucket is dealt into as many shards as its count asks for, so that no task numbers more than
 about SHARD_ROWS documents, and each shard fills its own batches.
 
+Lengths are ids of the byte-pair vocabulary where one is given, as in the pipeline. ``op3_packing`` gives none:
+its n_tokens, and so its budget and padding, count words.
+
 Defined results. A null or empty text has length 0. A document longer than the budget is a batch of
 its own, whole. Ties are ordered by doc_id. Repeated rows are packed each. An empty table gives an
 empty result. Extra columns pass through.
@@ -17,11 +20,13 @@ empty result. Extra columns pass through.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import table, written
+from .wordbpe import codec
 
 EXACT = 2048
 SHARD_ROWS = 20_000
@@ -97,10 +102,25 @@ def pack(docs: DataFrame, length: str, buckets: int = 16, budget: int = 32_768)
     )
 
 
-def pack_texts(docs: DataFrame, buckets: int = 16, budget: int = 32_768) -> DataFrame:
-    """doc_id, n_tokens and the packing of every document by its count of words."""
-    lengths = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n_tokens")), "lengths")
-    return pack(lengths, "n_tokens", buckets, budget)
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens: how many ids the vocabulary file of that path gives each whole text."""
+
+    def run(batches):
+        own = codec(path)
+        for batch in batches:
+            counts = [len(own.encode(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
+def pack_texts(docs: DataFrame, buckets: int = 16, budget: int = 32_768, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and the packing of every document by its ids under a vocabulary file, or else by its words."""
+    if vocabulary:
+        lengths = token_counts(docs, vocabulary)
+    else:
+        lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n_tokens"))
+    return pack(written(lengths, "lengths"), "n_tokens", buckets, budget)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,15 @@ def test_full_batches(spark):
     docs = spark.range(1000).selectExpr("id as doc_id", "10L as n_tokens", "'x' as source")
     rows = pack(docs, "n_tokens", 4, 100).collect()
     assert len(check_batches(rows, 100)) == 100 and {r.source for r in rows} == {"x"}
+
+
+def test_lengths_in_tokens(spark):
+    import corpus_pipeline
+    from mailward.llm.wordbpe import codec, vocabulary_path
+
+    texts = {1: "extraordinarily unbreakable words", 2: "日本語" * 500, 3: "Zm9vYmFyYmF6" * 300, 4: None, 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    want = {d: len(codec(vocabulary_path()).encode(t)) for d, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in rows} == want and min(want[2], want[3]) > 300
+    check_batches(rows, 32_768)
