@@ -65,34 +65,36 @@ def report_domains(value: Column) -> Column:
 
 def dmarc(record: Column) -> Column:
     """policy, has_rua, has_ruf, pct, sp, adkim, aspf, rua_domains, ruf_domains. A pct beyond a long counts as 100."""
-    t = tags(record)
-
-    def text(key, default=""):
-        return F.lower(F.coalesce(tag(t, key), F.lit(default)))
-
-    pct = tag(t, "pct")
-    return F.struct(
-        F.coalesce(F.nullif(text("p"), F.lit("")), F.lit("absent")).alias("policy"),
-        (F.coalesce(tag(t, "rua"), F.lit("")) != "").alias("has_rua"),
-        (F.coalesce(tag(t, "ruf"), F.lit("")) != "").alias("has_ruf"),
-        F.coalesce(F.when(F.rlike(pct, F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")), F.replace(pct, F.lit("_"), F.lit("")).try_cast("long")), F.lit(100)).cast("long").alias("pct"),
-        text("sp").alias("sp"),
-        text("adkim", "r").alias("adkim"),
-        text("aspf", "r").alias("aspf"),
-        report_domains(tag(t, "rua")).alias("rua_domains"),
-        report_domains(tag(t, "ruf")).alias("ruf_domains"),
-    )
+    def fields(t):
+        def text(key, default=""):
+            return F.lower(F.coalesce(tag(t, key), F.lit(default)))
+
+        pct = tag(t, "pct")
+        return F.struct(
+            F.coalesce(F.nullif(text("p"), F.lit("")), F.lit("absent")).alias("policy"),
+            (F.coalesce(tag(t, "rua"), F.lit("")) != "").alias("has_rua"),
+            (F.coalesce(tag(t, "ruf"), F.lit("")) != "").alias("has_ruf"),
+            F.coalesce(F.when(F.rlike(pct, F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")), F.replace(pct, F.lit("_"), F.lit("")).try_cast("long")), F.lit(100)).cast("long").alias("pct"),
+            text("sp").alias("sp"),
+            text("adkim", "r").alias("adkim"),
+            text("aspf", "r").alias("aspf"),
+            report_domains(tag(t, "rua")).alias("rua_domains"),
+            report_domains(tag(t, "ruf")).alias("ruf_domains"),
+        )
+
+    # The tags are a lambda's variable, so they are split once for all fields.
+    return F.get(F.transform(F.array(tags(record)), fields), F.lit(0))
 
 
 def dkim(record: Column, candidate: bool = False) -> Column:
     """testing_mode and weak_key. candidate: short keys count for RSA only, and flags are a list."""
     t = tags(record)
     key = F.coalesce(tag(t, "p"), F.lit(""))
-    flags = F.coalesce(tag(t, "t"), F.lit(""))
+    flags = F.lower(F.coalesce(tag(t, "t"), F.lit("")))
     weak = F.length(key).between(1, WEAK_KEY_CHARS - 1)
     if candidate:
         weak = weak & (F.lower(F.coalesce(tag(t, "k"), F.lit("rsa"))) == "rsa")
-        testing = F.array_contains(F.split(F.lower(flags), r"\s*:\s*"), "y")
+        testing = F.array_contains(F.split(flags, r"\s*:\s*"), "y")
     else:
         testing = flags == "y"
     return F.struct(testing.alias("testing_mode"), weak.alias("weak_key"))

@@ -6,72 +6,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parsers, providers, text
-from ..operators import metrics, store
-from ..sources.projection import RAW_SQL, WIDE_SQL, raw, wide
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str):
-    def keep(f):
-        QUERIES[name], ORACLES[name] = f, sql
-        return f
-
-    return keep
-
+from ..operators import store
+from ..sources.projection import RAW_SQL, plan, raw, wide
+from . import twins
+from .registry import ORACLES, QUERIES, query
+from .twins import DIM as _DIM, domains as _domains, tag as _tag
 
 def _raw(sql: str) -> str:
     return f"WITH raw AS ({RAW_SQL}) {sql}"
 
 
-def _wide(sql: str) -> str:
-    return f"WITH wide AS ({WIDE_SQL}) {sql}"
+def _scanned(sql: str) -> str:
+    return f"{twins.SCAN} {sql}"
 
 
 def _joined(c):
     return F.array_join(c, ",")
 
 
-_SPF_SQL = r"""SELECT domain, coalesce(nm, 'none') AS all_mechanism, CAST(n AS INTEGER) AS lookup_count, n >= 8 AS near_limit FROM (
- SELECT domain, list_extract(terms, {end}) AS nm, len([1 FOR t IN scanned IF t NOT IN ('-all','~all','?all','+all','all') AND regexp_matches(regexp_replace(t, '^[+~?-]', ''), '^((a|mx|ptr)$|include:|exists:|redirect=|a[:/]|mx[:/]|ptr:)')
-   AND NOT ({skip} AND starts_with(regexp_replace(t, '^[+~?-]', ''), 'redirect='))]) AS n FROM (
- SELECT *, {scan} AS scanned FROM (
- SELECT domain, w, [CASE t WHEN '-all' THEN 'hardfail' WHEN '~all' THEN 'softfail' WHEN '?all' THEN 'neutral' ELSE 'pass' END FOR t IN w IF t IN ('-all','~all','?all','+all','all')] AS terms,
-   list_min([CAST(i AS BIGINT) FOR i IN range(1, len(w) + 1) IF w[i] IN ('-all','~all','?all','+all','all')]) AS first_end
- FROM (SELECT domain, string_split(lower(spf_raw), ' ') AS w FROM raw WHERE spf_raw IS NOT NULL))))"""
-
-
-@query("parse_spf", _raw(_SPF_SQL.format(end=1, skip="len(terms) > 0", scan="w[1:coalesce(first_end, len(w))]")))
+@query("parse_spf", _raw(twins.spf("raw", "spf_raw")))
 def parse_spf(spark, d):
     return raw(spark, d).filter("spf_raw IS NOT NULL").select("domain", parsers.spf(F.col("spf_raw")).alias("s")).select("domain", "s.*")
 
 
-@query("parse_spf_v1", _raw(_SPF_SQL.format(end=-1, skip="false", scan="w")))
+@query("parse_spf_v1", _raw(twins.spf("raw", "spf_raw", first=False)))
 def parse_spf_v1(spark, d):
     return raw(spark, d).filter("spf_raw IS NOT NULL").select("domain", parsers.spf(F.col("spf_raw"), first_wins=False).alias("s")).select("domain", "s.*")
 
 
-_TAGS = "[{'k': lower(trim(x[1:instr(x, '=') - 1])), 'v': trim(x[instr(x, '=') + 1:])} FOR x IN string_split({c}, ';') IF contains(x, '=')]"
+_TAGS = twins.TAGS
 
 
-def _tag(key: str) -> str:
-    return f"list_extract([e.v FOR e IN t IF e.k = '{key}'], -1)"
-
-
-def _domains(value: str) -> str:
-    uris = f"[string_split(trim(u), '!')[1] FOR u IN string_split(coalesce({value}, ''), ',')]"
-    return f"""[CASE WHEN starts_with(lower(u), 'mailto:') THEN lower(string_split(u, '@')[-1]) ELSE lower(string_split(string_split(u, '://')[2], '/')[1]) END
-      FOR u IN {uris} IF (starts_with(lower(u), 'mailto:') AND contains(u, '@')) OR (NOT starts_with(lower(u), 'mailto:') AND contains(u, '://'))]"""
-
-
-_DMARC_SQL = _raw(f"""SELECT domain, coalesce(nullif(lower({_tag('p')}), ''), 'absent') AS policy, coalesce({_tag('rua')}, '') <> '' AS has_rua, coalesce({_tag('ruf')}, '') <> '' AS has_ruf,
-  CAST(CASE WHEN regexp_matches({_tag('pct')}, '^[+-]?[0-9]+$') THEN CAST({_tag('pct')} AS BIGINT) ELSE 100 END AS BIGINT) AS pct, coalesce(lower({_tag('sp')}), '') AS sp,
-  coalesce(lower({_tag('adkim')}), 'r') AS adkim, coalesce(lower({_tag('aspf')}), 'r') AS aspf,
-  array_to_string({_domains(_tag('rua'))}, ',') AS rua_domains, array_to_string({_domains(_tag('ruf'))}, ',') AS ruf_domains
-  FROM (SELECT domain, {_TAGS.replace('{c}', 'dmarc_raw')} AS t FROM raw WHERE dmarc_raw IS NOT NULL)""")
-
-
-@query("parse_dmarc", _DMARC_SQL)
+@query("parse_dmarc", _raw(twins.dmarc("raw", "dmarc_raw")))
 def parse_dmarc(spark, d):
     found = raw(spark, d).filter("dmarc_raw IS NOT NULL").select("domain", parsers.dmarc(F.col("dmarc_raw")).alias("s")).select("domain", "s.*")
     return found.withColumns({c: _joined(F.col(c)) for c in ("rua_domains", "ruf_domains")})
@@ -93,7 +59,7 @@ def _dkim_sql(testing: str, weak: str) -> str:
     return _raw(f"SELECT domain, {testing} AS testing_mode, length(coalesce({_tag('p')}, '')) BETWEEN 1 AND 249 {weak} AS weak_key FROM (SELECT domain, {_TAGS.replace('{c}', 'dkim_raw')} AS t FROM raw WHERE dkim_raw IS NOT NULL)")
 
 
-@query("parse_dkim", _dkim_sql(f"coalesce({_tag('t')}, '') = 'y'", ""))
+@query("parse_dkim", _dkim_sql(f"lower(coalesce({_tag('t')}, '')) = 'y'", ""))
 def parse_dkim(spark, d):
     return raw(spark, d).filter("dkim_raw IS NOT NULL").select("domain", parsers.dkim(F.col("dkim_raw")).alias("s")).select("domain", "s.*")
 
@@ -137,7 +103,6 @@ def mx_hosts_sorted(spark, d):
     return raw(spark, d).select("domain", _joined(parsers.mx_hosts(F.split("mx_raw", r"\|"))).alias("hosts"))
 
 
-_DIM = "(VALUES " + ",".join(f"({i},'{p}','{s}')" for i, (p, ss) in enumerate(providers.PROVIDERS) for s in ss) + ") AS dim(ord, provider, suffix)"
 _PROVIDER_SQL = f"""hosts AS (SELECT domain, unnest(h) AS host, generate_subscripts(h, 1) AS i FROM (SELECT domain, {_HOSTS} AS h FROM raw)),
  hits AS (SELECT domain, i, ord, provider FROM hosts JOIN {_DIM} ON host = suffix OR ends_with(host, '.' || suffix)
    UNION ALL SELECT domain, i, 99, 'self_hosted' FROM hosts WHERE host = domain OR ends_with(host, '.' || domain)),
@@ -158,13 +123,14 @@ def mx_provider(spark, d):
     return _named(spark, d).select("domain", "provider")
 
 
-@query("provider_distribution", _with_provider("SELECT provider, count(*) AS n, CAST(100.0 * count(*) / sum(count(*)) OVER () AS DOUBLE) AS share FROM named WHERE mx_status = 'ok' GROUP BY provider"))
+@query("provider_distribution", _scanned("SELECT coalesce(nullif(mx_provider, ''), '(unknown)') AS provider, count(*) AS n, CAST(100.0 * count(*) / sum(count(*)) OVER () AS DOUBLE) AS share FROM w WHERE error = '' AND has_mx GROUP BY 1"))
 def provider_distribution(spark, d):
-    counts = _named(spark, d).filter("mx_status = 'ok'").groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+    counts = wide(spark, d).filter("error = '' AND has_mx").groupBy(F.coalesce(F.nullif("mx_provider", F.lit("")), F.lit("(unknown)")).alias("provider")).agg(F.count(F.lit(1)).alias("n"))
+    # The window is over one row a provider, of a closed set.
     return counts.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "provider")
 
 
-_SELECTORS = "CASE provider WHEN 'microsoft365' THEN ['selector1', 'selector2'] WHEN 'google_workspace' THEN ['google'] ELSE [" + ",".join(f"'{s}'" for s in providers.COMMON_SELECTORS) + "] END"
+_SELECTORS = twins.SELECTORS
 
 
 @query("dkim_selector_plan", _with_provider(f"SELECT domain, CAST(pos - 1 AS INTEGER) AS pos, s || '._domainkey.' || domain AS name FROM (SELECT domain, unnest({_SELECTORS}) AS s, generate_subscripts({_SELECTORS}, 1) AS pos FROM named)"))
@@ -172,49 +138,22 @@ def dkim_selector_plan(spark, d):
     return _named(spark, d).select("domain", F.posexplode(providers.selectors(F.col("provider"))).alias("pos", "s")).select("domain", "pos", F.concat("s", F.lit("._domainkey."), "domain").alias("name"))
 
 
-@query("mx_gate", _raw("SELECT domain, mx_status <> 'nxdomain' AS domain_exists, mx_status = 'ok' AS goes_on, CASE WHEN mx_status = 'error' THEN 'mx_query_error' ELSE '' END AS error FROM raw"))
-def mx_gate(spark, d):
-    s = F.col("mx_status")
-    return raw(spark, d).select("domain", (s != "nxdomain").alias("domain_exists"), (s == "ok").alias("goes_on"), F.when(s == "error", "mx_query_error").otherwise("").alias("error"))
-
-
-@query("query_plan_group_a", _raw("""SELECT domain, q.o AS q_ord, q.t AS rdtype, q.n AS name FROM (SELECT domain, unnest([{'o': 1, 't': 'DS', 'n': domain}, {'o': 2, 't': 'NS', 'n': domain}, {'o': 3, 't': 'TXT', 'n': domain},
-  {'o': 4, 't': 'SPF', 'n': domain}, {'o': 5, 't': 'TXT', 'n': '_dmarc.' || domain}]) AS q FROM raw WHERE mx_status IN ('ok', 'noanswer'))"""))
-def query_plan_group_a(spark, d):
-    asked = F.array(*[F.struct(F.lit(i + 1).alias("q_ord"), F.lit(t).alias("rdtype"), F.concat(F.lit(p), "domain").alias("name")) for i, (t, p) in enumerate((("DS", ""), ("NS", ""), ("TXT", ""), ("SPF", ""), ("TXT", "_dmarc.")))])
-    return raw(spark, d).filter("mx_status IN ('ok', 'noanswer')").select("domain", F.inline(asked))
-
-
-@query("dangling_mx", _raw(f"""SELECT domain, array_to_string(CASE WHEN a_status = 'nxdomain' OR (a_status = 'noanswer' AND aaaa_status IN ('noanswer', 'nxdomain')) THEN {_HOSTS} ELSE [] END, ',') AS unresolvable,
-  a_status = 'error' OR (a_status = 'noanswer' AND aaaa_status = 'error') AS inconclusive FROM raw WHERE mx_status = 'ok'"""))
-def dangling_mx(spark, d):
-    a, b = F.col("a_status"), F.col("aaaa_status")
-    dead = (a == "nxdomain") | ((a == "noanswer") & b.isin("noanswer", "nxdomain"))
-    hosts = parsers.mx_hosts(F.split("mx_raw", r"\|"))
-    return raw(spark, d).filter("mx_status = 'ok'").select("domain", _joined(F.when(dead, hosts).otherwise(F.array().cast("array<string>"))).alias("unresolvable"), ((a == "error") | ((a == "noanswer") & (b == "error"))).alias("inconclusive"))
-
-
-@query("scan_error_summary", _raw("""SELECT domain, CASE WHEN len(e) = 0 THEN '' WHEN len(e) = 1 AND e[1] = 'MX ' || domain THEN 'mx_query_error' ELSE 'query_errors: ' || array_to_string(e, ', ') END AS error
-  FROM (SELECT domain, [x FOR x IN [CASE WHEN mx_status = 'error' THEN 'MX ' || domain END, CASE WHEN a_status = 'error' THEN 'A ' || domain END, CASE WHEN aaaa_status = 'error' THEN 'AAAA ' || domain END] IF x IS NOT NULL] AS e FROM raw)"""))
-def scan_error_summary(spark, d):
-    failed = F.array_compact(F.array(*[F.when(F.col(c) == "error", F.concat(F.lit(t), "domain")) for t, c in (("MX ", "mx_status"), ("A ", "a_status"), ("AAAA ", "aaaa_status"))]))
-    alone = (F.size("e") == 1) & (F.get("e", F.lit(0)) == F.concat(F.lit("MX "), "domain"))
-    return raw(spark, d).select("domain", failed.alias("e")).select("domain", F.when(F.size("e") == 0, "").when(alone, "mx_query_error").otherwise(F.concat(F.lit("query_errors: "), F.array_join("e", ", "))).alias("error"))
-
-
 _PLAN = "SELECT c_custkey AS pos, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain FROM customer"
 
 
 def _plan(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("d"), F.col("c_custkey").cast("string"), F.lit(".ch")).alias("domain"))
+    return plan(spark, d)
 
 
-@query("resume_anti_join", _wide(f"SELECT p.* FROM ({_PLAN}) AS p WHERE domain NOT IN (SELECT domain FROM wide WHERE error = '' AND mx_status <> 'error')"))
+_BAD = "SELECT domain FROM gate WHERE broken UNION SELECT domain FROM bads"
+
+
+@query("resume_anti_join", _scanned(f"SELECT p.* FROM ({_PLAN}) AS p WHERE domain IN ({_BAD})"))
 def resume_anti_join(spark, d):
     return store.to_resume(_plan(spark, d), wide(spark, d)).select("pos", "domain")
 
 
-@query("retry_subset", _wide(f"SELECT p.* FROM ({_PLAN}) AS p WHERE domain IN (SELECT domain FROM wide WHERE error <> '')"))
+@query("retry_subset", _scanned(f"SELECT p.* FROM ({_PLAN}) AS p WHERE domain IN ({_BAD})"))
 def retry_subset(spark, d):
     return store.to_retry(_plan(spark, d), wide(spark, d)).select("pos", "domain")
 
@@ -224,15 +163,14 @@ def plan_limit(spark, d):
     return _plan(spark, d).orderBy("pos").limit(100)
 
 
-@query("db_accounting", _wide("SELECT count(*) AS total, count(*) FILTER (WHERE error = '' AND mx_status <> 'error') AS analyzable, count(*) FILTER (WHERE error <> '' OR mx_status = 'error') AS errors FROM wide"))
+@query("db_accounting", _scanned(f"SELECT count(*) AS total, count(*) FILTER (WHERE domain NOT IN ({_BAD})) AS analyzable, count(*) FILTER (WHERE domain IN ({_BAD})) AS errors FROM w"))
 def db_accounting(spark, d):
     return store.accounting(wide(spark, d))
 
 
-@query("universe_set_diff", _wide(f"SELECT 'missing' AS side, domain FROM (SELECT domain FROM ({_PLAN}) EXCEPT ALL SELECT domain FROM wide WHERE error = '') UNION ALL SELECT 'extra', domain FROM (SELECT domain FROM wide WHERE error = '' EXCEPT ALL SELECT domain FROM ({_PLAN}))"))
+@query("universe_set_diff", _scanned(f"SELECT 'missing' AS side, domain FROM (SELECT domain FROM ({_PLAN}) EXCEPT ALL SELECT domain FROM w WHERE error = '')"))
 def universe_set_diff(spark, d):
-    a, b = _plan(spark, d).select("domain"), wide(spark, d).filter("error = ''").select("domain")
-    return a.exceptAll(b).select(F.lit("missing").alias("side"), "domain").unionByName(b.exceptAll(a).select(F.lit("extra").alias("side"), "domain"))
+    return store.same_universe(_plan(spark, d), wide(spark, d).filter("error = ''"))
 
 
 @query("duplicate_domains", "SELECT p_brand AS domain, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -251,99 +189,3 @@ def normalize_domains(spark, d):
 def upsert_latest_wins(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "value", "ts")
     return store.latest(events, "user_id", ["ts", "event_id"]).drop("ts")
-
-
-@query("legacy_schema_view", _wide("SELECT domain, has_ds_record, has_tlsa_record FROM wide"))
-def legacy_schema_view(spark, d):
-    old = wide(spark, d).select("domain", F.col("has_ds_record").alias("dnssec_signed"), F.col("has_tlsa_record").alias("has_tlsa"))
-    return store.canonical(old, ["domain", "has_ds_record", "has_tlsa_record"])
-
-
-def _metrics_sql(prefix: str) -> str:
-    rows = [s for s in metrics.catalogue() if s[0].startswith(tuple(prefix.split("|")))]
-    predicates = {m: p for m, p, _ in metrics.catalogue()}
-    one = "SELECT '{m}' AS metric_id, count(*) FILTER (WHERE {p}) AS numerator, '{d}' AS denominator_id, count(*) FILTER (WHERE {q}) AS denominator FROM wide"
-    union = " UNION ALL ".join(one.format(m=m, p=p, d=d, q=predicates[d]) for m, p, d in rows)
-    return _wide(f"SELECT *, CASE WHEN denominator = 0 THEN '0.00' ELSE CAST(CAST(round(CAST(numerator AS DECIMAL(18,0)) * 100 / denominator, 2) AS DECIMAL(9,2)) AS VARCHAR) END AS percent FROM ({union})")
-
-
-def _family(name: str, prefix: str) -> None:
-    def run(spark, d):
-        return metrics.counted(wide(spark, d)).filter(F.rlike("metric_id", F.lit(f"^(?:{prefix})".replace(".", r"\."))))
-
-    QUERIES[name], ORACLES[name] = run, _metrics_sql(prefix)
-
-
-for _name, _prefix in {"metric_catalogue": "", "metrics_population": "population.|domain.", "metrics_mx_provider": "mx.", "metrics_spf": "spf.", "metrics_dkim": "dkim.", "metrics_dmarc": "dmarc.", "metrics_dns": "ds.|ns.", "metrics_transport": "tlsa.|bimi.|mta_sts.|tls_rpt.|caa."}.items():
-    _family(_name, _prefix)
-
-
-def _sum_sql(ids):
-    return "CAST((SELECT sum(numerator) FROM m WHERE metric_id IN (" + ",".join(f"'{i}'" for i in ids) + ")) AS BIGINT)"
-
-
-@query("reconcile_metrics", ORACLES["metric_catalogue"].replace("SELECT *, CASE", ", m AS (SELECT *, CASE", 1) + ") SELECT identity, left_sum, right_sum, left_sum = right_sum AS holds FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS identity, {_sum_sql(a)} AS left_sum, {_sum_sql(b)} AS right_sum" for k, (a, b) in metrics.IDENTITIES.items()) + ")")
-def reconcile_metrics(spark, d):
-    return metrics.reconciled(metrics.counted(wide(spark, d)))
-
-
-@query("dual_catalogue_diff", "SELECT '' AS metric_id, CAST(0 AS BIGINT) AS first_count, CAST(0 AS BIGINT) AS second_count WHERE false")
-def dual_catalogue_diff(spark, d):
-    rows = wide(spark, d)
-    a, b = metrics.counted(rows).select("metric_id", F.col("numerator").alias("first_count")), metrics.recounted(rows).withColumnRenamed("numerator", "second_count")
-    return a.join(b, "metric_id", "full_outer").filter("NOT first_count <=> second_count")
-
-
-_FLAGS = ["domain_exists", "has_mx", "has_spf", "spf_near_limit", "has_legacy_spf_rrtype", "has_dkim", "dkim_testing_mode", "dkim_weak_key", "has_dmarc", "has_ds_record", "has_tlsa_record", "has_bimi", "has_mta_sts", "has_tlsrpt", "has_caa", "mx_unresolvable"]
-_CHECKS = {
-    "flags": " OR ".join(f"{c} IS NULL" for c in _FLAGS),
-    "pct": "dmarc_pct IS NULL",
-    "domain": "domain IS NULL OR domain = ''",
-    "error_status": "(error = '') = (mx_status = 'error')",
-    "status": "mx_status NOT IN ('ok', 'nxdomain', 'noanswer', 'error')",
-    "provider": "has_mx = (mx_provider = '') OR mx_provider NOT IN ('', " + ", ".join(f"'{p}'" for p in metrics.PROVIDER_NAMES) + ")",
-    "spf": "has_spf = (spf_all_mechanism = '') OR spf_all_mechanism NOT IN ('', 'hardfail', 'softfail', 'neutral', 'pass', 'none')",
-    "dmarc": "dmarc_policy IS NULL OR dmarc_adkim IS NULL OR dmarc_aspf IS NULL",
-}
-
-
-@query("validate_results", _wide(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {p}) AS violations FROM wide" for k, p in _CHECKS.items())))
-def validate_results(spark, d):
-    sums = wide(spark, d).agg(*[F.count_if(F.expr(p)).alias(k) for k, p in _CHECKS.items()])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in _CHECKS])))
-
-
-_REPORT = {"has_ds": "has_ds_record", "mx": "has_mx", "spf": "has_mx AND has_spf", **{f"spf_{t}": f"has_mx AND spf_all_mechanism = '{t}'" for t in ("hardfail", "softfail", "neutral", "pass", "none")}, "spf_near_limit": "has_mx AND spf_near_limit",
-           "dkim": "has_mx AND has_dkim", "dkim_weak": "has_mx AND dkim_weak_key", "dmarc": "has_mx AND has_dmarc", **{f"dmarc_{p}": f"has_mx AND dmarc_policy = '{p}'" for p in ("reject", "quarantine", "none", "absent")},
-           "unprotected": "has_mx AND dmarc_policy IN ('absent', 'none')", "bimi": "has_mx AND has_bimi", "mta_sts": "has_mx AND has_mta_sts", "tlsrpt": "has_mx AND has_tlsrpt", "caa": "has_mx AND has_caa", "tlsa": "has_mx AND has_tlsa_record"}
-
-
-@query("report_summary", _wide(" UNION ALL ".join(f"SELECT '{k}' AS label, count(*) FILTER (WHERE error = '' AND {p}) AS n FROM wide" for k, p in _REPORT.items())))
-def report_summary(spark, d):
-    sums = wide(spark, d).agg(*[F.count_if(F.expr(f"error = '' AND {p}")).alias(k) for k, p in _REPORT.items()])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("n")) for k in _REPORT])))
-
-
-@query("percent_display", "SELECT l_orderkey, l_linenumber, CAST(CAST(round(CAST(l_linenumber AS DECIMAL(18,0)) * 100 / 7, 2) AS DECIMAL(9,2)) AS VARCHAR) AS percent FROM lineitem")
-def percent_display(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", metrics.display(F.col("l_linenumber"), F.lit(7)).alias("percent"))
-
-
-@query("run_chain_links", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
-def run_chain_links(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("previous"))
-
-
-@query("privacy_scan_sha", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Fa-f])([0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})($|[^0-9A-Fa-f])')")
-def privacy_scan_sha(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").filter(F.rlike("text", F.lit(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})(?![0-9A-Fa-f])"))).select("doc_id")
-
-
-@query("privacy_scan_ip", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}($|[^0-9.])')")
-def privacy_scan_ip(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").filter(F.rlike("text", F.lit(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"))).select("doc_id")
-
-
-@query("json_leaves", "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS leaf FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
-def json_leaves(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "leaf"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.scan import scanned
 
 RAW_SQL = """
 SELECT c_custkey AS k, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain,
@@ -15,38 +18,59 @@ SELECT c_custkey AS k, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain,
     WHEN 5 THEN 'v=DMARC1; p=none; p=reject; sp=NONE' WHEN 6 THEN 'v = dmarc1; p=; adkim=; pct=abc' WHEN 7 THEN 'v=DMARC1; p=reject; pct=-5; =x; nokey' END AS dmarc_raw,
   CASE c_custkey % 7 WHEN 0 THEN 'v=spf1 include:_spf.google.com a mx -all' WHEN 1 THEN 'v=spf1 +all -all' WHEN 2 THEN 'v=spf1 redirect=t.example a ?all' WHEN 3 THEN 'v=spf1 a redirect=t.example'
     WHEN 4 THEN 'V=SPF1 +a ~mx:x.ch ?exists:%{i} ptr ip4:1.2.3.4 include:a include:b include:c include:d ~ALL' WHEN 5 THEN 'v=spf1 all a' END AS spf_raw,
-  CASE c_custkey % 5 WHEN 0 THEN 'v=DKIM1; k=rsa; p=MIGf; t=y' WHEN 1 THEN concat('v=DKIM1; p=', repeat('A', 392)) WHEN 2 THEN 'v=DKIM1; k=ed25519; p=11qY; t=s:y' WHEN 3 THEN 'v=DKIM1; p=' END AS dkim_raw,
+  CASE c_custkey % 5 WHEN 0 THEN 'v=DKIM1; k=rsa; p=MIGf; t=Y' WHEN 1 THEN concat('v=DKIM1; p=', repeat('A', 392)) WHEN 2 THEN 'v=DKIM1; k=ed25519; p=11qY; t=s:y' WHEN 3 THEN 'v=DKIM1; p=' END AS dkim_raw,
   CASE c_custkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'noanswer' WHEN 2 THEN 'nxdomain' WHEN 3 THEN 'error' ELSE 'noanswer' END AS a_status,
   CASE c_custkey % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'nxdomain' ELSE 'noanswer' END AS aaaa_status
 FROM customer
 """
 
-# A scan's result rows, already parsed: the input of metrics, validation and the report.
-WIDE_SQL = """
-SELECT domain, k % 13 <> 0 AS domain_exists, m AS has_mx,
-  CASE WHEN NOT m THEN '' WHEN k % 4 = 0 THEN 'microsoft365' WHEN k % 4 = 1 THEN 'google_workspace' WHEN k % 8 = 2 THEN 'hostpoint' WHEN k % 8 = 3 THEN 'self_hosted' WHEN k % 16 = 6 THEN 'unknown' ELSE 'other' END AS mx_provider,
-  k % 7 <> 6 AS has_spf,
-  CASE k % 7 WHEN 0 THEN 'hardfail' WHEN 1 THEN 'softfail' WHEN 2 THEN 'neutral' WHEN 3 THEN 'pass' WHEN 6 THEN '' WHEN 4 THEN 'none' ELSE 'hardfail' END AS spf_all_mechanism,
-  k % 7 = 4 AS spf_near_limit, k % 19 = 0 AS has_legacy_spf_rrtype,
-  m AND k % 5 IN (0, 2) AS has_dkim, m AND k % 10 = 0 AS dkim_testing_mode, m AND k % 15 = 5 AS dkim_weak_key,
-  k % 11 < 8 AS has_dmarc,
-  CASE k % 11 WHEN 0 THEN 'reject' WHEN 1 THEN 'none' WHEN 2 THEN 'absent' WHEN 3 THEN 'bogus' WHEN 4 THEN 'quarantine' WHEN 5 THEN 'reject' WHEN 6 THEN '' WHEN 7 THEN 'none' ELSE 'absent' END AS dmarc_policy,
-  CAST(CASE k % 6 WHEN 0 THEN 50 WHEN 1 THEN -5 WHEN 2 THEN 250 ELSE 100 END AS BIGINT) AS dmarc_pct,
-  CASE k % 3 WHEN 0 THEN 's' WHEN 1 THEN 'r' ELSE 'x' END AS dmarc_adkim, CASE k % 4 WHEN 0 THEN 's' WHEN 1 THEN 'x' ELSE 'r' END AS dmarc_aspf,
-  k % 5 = 1 AS has_ds_record, k % 10 <> 9 AS has_ns, m AND k % 14 = 0 AS has_tlsa_record, m AND k % 22 = 0 AS has_bimi, m AND k % 9 = 0 AS has_mta_sts,
-  m AND k % 12 = 0 AS has_tlsrpt, m AND k % 6 = 1 AS has_caa, m AND k % 21 = 0 AS mx_unresolvable,
-  CASE WHEN k % 17 = 0 THEN concat('query_errors: MX ', domain) ELSE '' END AS error, CASE WHEN k % 17 = 0 THEN 'error' ELSE 'ok' END AS mx_status
-FROM (SELECT c_custkey AS k, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain, c_custkey % 13 <> 0 AND c_nationkey % 3 <> 0 AS m FROM customer) AS keyed
+# Recorded answers of every query that a scan of these domains may ask, as a long table; lists are joined by a bar.
+# Names that only some rows have stay unanswered, which counts as an error.
+ANSWERS_SQL = f"""
+SELECT domain AS name, 'MX' AS rdtype, mx_status AS status, CASE WHEN mx_status <> 'ok' THEN '' WHEN k % 97 = 5 THEN 'mail.without.preference' WHEN k % 89 = 7 THEN '' WHEN k % 16 = 6 THEN concat(mx_raw, '|7 mta-gw.infomaniak.ch.') ELSE mx_raw END AS answers FROM raw
+UNION ALL SELECT domain, 'DS', CASE WHEN k % 23 = 0 THEN 'error' WHEN k % 5 IN (1, 2) THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 5 = 1 AND k % 23 <> 0 THEN '2371 13 2 AA' ELSE '' END FROM raw
+UNION ALL SELECT domain, 'NS', CASE WHEN k % 10 = 9 THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 10 = 9 THEN '' ELSE 'NS2.Example.net.|ns1.example.net.' END FROM raw
+UNION ALL SELECT domain, 'TXT', CASE WHEN k % 43 = 1 THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 43 = 1 THEN '' ELSE concat('site-check=1', CASE WHEN spf_raw IS NULL THEN '' ELSE concat('|', spf_raw, '|v=spf1 -all') END) END FROM raw
+UNION ALL SELECT domain, 'SPF', CASE WHEN k % 19 = 0 THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 19 = 0 THEN 'v=spf1 -all' ELSE '' END FROM raw WHERE k % 41 <> 0
+UNION ALL SELECT concat('_dmarc.', domain), 'TXT', CASE WHEN k % 37 = 0 THEN 'error' WHEN dmarc_raw IS NULL THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 37 = 0 OR dmarc_raw IS NULL THEN '' ELSE concat('other|', dmarc_raw) END FROM raw
+UNION ALL SELECT host, 'A', a_status, CASE WHEN a_status = 'ok' AND k % 12 <> 0 THEN '192.0.2.1' ELSE '' END FROM own
+UNION ALL SELECT host, 'AAAA', aaaa_status, CASE WHEN aaaa_status = 'ok' AND k % 18 <> 0 THEN '2001:db8::1' ELSE '' END FROM own
+UNION ALL SELECT concat('_25._tcp.', host), 'TLSA', CASE WHEN k % 61 = 0 THEN 'error' WHEN k % 14 IN (0, 5) THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 61 <> 0 AND k % 14 = 5 THEN '3 1 1 AB' ELSE '' END FROM own
+UNION ALL SELECT * FROM (VALUES ('aspmx.l.google.com', 'A', 'ok', '192.0.2.2'), ('alt1.aspmx.l.google.com', 'A', 'ok', ''), ('alt1.aspmx.l.google.com', 'AAAA', 'ok', '2001:db8::2'), ('mx1.hostpoint.ch', 'A', 'ok', '192.0.2.3'),
+  ('backup.example.net', 'A', 'nxdomain', ''), ('mail.halcyon.ch', 'A', 'noanswer', ''), ('mail.halcyon.ch', 'AAAA', 'noanswer', ''), ('mta-gw.infomaniak.ch', 'A', 'ok', '192.0.2.4'), ('aux.cyon.ch', 'A', 'noanswer', ''), ('aux.cyon.ch', 'AAAA', 'nxdomain', ''),
+  ('_25._tcp.aspmx.l.google.com', 'TLSA', 'noanswer', ''), ('_25._tcp.alt1.aspmx.l.google.com', 'TLSA', 'noanswer', ''), ('_25._tcp.mx1.hostpoint.ch', 'TLSA', 'ok', '3 1 1 CD'), ('_25._tcp.backup.example.net', 'TLSA', 'nxdomain', ''),
+  ('_25._tcp.mail.halcyon.ch', 'TLSA', 'noanswer', ''), ('_25._tcp.mta-gw.infomaniak.ch', 'TLSA', 'ok', ''), ('_25._tcp.aux.cyon.ch', 'TLSA', 'noanswer', '')) AS fixed(name, rdtype, status, answers)
+UNION ALL SELECT concat(s, '._domainkey.', domain), 'TXT', CASE WHEN (k + i) % 211 = 0 THEN 'error' WHEN (k + i) % 4 = 0 THEN 'ok' ELSE 'noanswer' END, CASE WHEN (k + i) % 211 <> 0 AND (k + i) % 4 = 0 THEN coalesce(concat('v=DKIM1; p=|', dkim_raw), 'unrelated') ELSE '' END
+  FROM raw CROSS JOIN (VALUES ('default', 0), ('selector1', 1), ('selector2', 2), ('google', 3), ('k1', 4), ('s1', 5), ('s2', 6), ('mail', 7), ('dkim', 8), ('smtp', 9), ('key1', 10), ('mx', 11)) AS sel(s, i)
+UNION ALL SELECT concat('default._bimi.', domain), 'TXT', 'ok', CASE WHEN k % 22 = 0 THEN 'x|V=BIMI1; l=https://b.example/l.svg' ELSE 'v=spf1 -all' END FROM raw
+UNION ALL SELECT concat('_mta-sts.', domain), 'TXT', CASE WHEN k % 47 = 0 THEN 'error' ELSE 'ok' END, CASE WHEN k % 47 = 0 THEN '' WHEN k % 9 = 0 THEN 'v = STSv1; id=1' ELSE '' END FROM raw
+UNION ALL SELECT concat('_smtp._tls.', domain), 'TXT', CASE WHEN k % 12 = 0 THEN 'ok' ELSE 'nxdomain' END, CASE WHEN k % 12 = 0 THEN 'v=TLSRPTv1; rua=mailto:t@example.ch' ELSE '' END FROM raw
+UNION ALL SELECT domain, 'CAA', CASE WHEN k % 6 = 1 THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 6 = 1 THEN '0 issue "ca.example"|0 iodef "mailto:s@example.ch"' ELSE '' END FROM raw
 """
+OWN_SQL = "SELECT *, CASE k % 8 WHEN 0 THEN concat('d', CAST(k AS STRING), '-ch.mail.protection.outlook.com') ELSE concat('mx.d', CAST(k AS STRING), '.ch') END AS host FROM raw WHERE k % 8 IN (0, 5)"
+#: The statement head that names raw, own and answers for a query on them.
+SCAN_HEAD = f"WITH raw AS ({RAW_SQL}), own AS ({OWN_SQL}), answers AS ({ANSWERS_SQL})"
 
 
 def _of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM customer", "FROM {customer}").replace("%{i}", "%{{i}}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(spark, sf_dir, RAW_SQL)
 
 
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos and domain of each planned domain."""
+    return raw(spark, sf_dir).select(F.col("k").alias("pos"), "domain")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, rdtype, status and the list of answers."""
+    rows = _of(spark, sf_dir, f"{SCAN_HEAD} SELECT * FROM answers")
+    return rows.withColumn("answers", F.when(F.col("answers") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("answers", r"\|")))
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of(spark, sf_dir, WIDE_SQL)
+    """A scan's results: the input of metrics, validation and the report."""
+    return scanned(plan(spark, sf_dir), answers(spark, sf_dir))

@@ -6,7 +6,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def _names():
-    from mailward.plans.queries import QUERIES
+    from mailward.plans import QUERIES
 
     return list(QUERIES)
 
@@ -21,10 +21,10 @@ def _normal(rows, columns):
 def test_equals_sql(spark, name):
     import duckdb
 
-    from mailward.plans.queries import ORACLES, QUERIES
+    from mailward.plans import ORACLES, QUERIES
 
     db = duckdb.connect()
-    for t in ("customer", "part", "events", "documents", "lineitem"):
+    for t in ("customer", "part", "events", "documents", "lineitem", "orders", "pages"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     frame, twin = QUERIES[name](spark, DATA), db.execute(ORACLES[name])
     columns = [c[0] for c in twin.description]
@@ -34,7 +34,23 @@ def test_equals_sql(spark, name):
 
 def test_catalogue_is_one_exchange(spark):
     from mailward.operators.metrics import counted
-    from mailward.sources.projection import wide
+    from mailward.schema import ALL, COLUMNS
 
-    plan = counted(wide(spark, DATA))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 1
+    empty = spark.createDataFrame([], ", ".join(f"{c} {COLUMNS[c]}" for c in ALL))
+    plan = counted(empty.repartition(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2
+
+
+def test_registry_without_corpus_operators(monkeypatch):
+    import __spark_entry__
+
+    real = __spark_entry__.importlib.import_module
+
+    def missing(name, *a):
+        if name in ("mailward.llm", "corpus_pipeline"):
+            raise ImportError(name)
+        return real(name, *a)
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", missing)
+    assert not [k for k in __spark_entry__.queries() if k.startswith("op") or k == "pipeline"]
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
