@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='mailward-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends at durable files."""
+def few(df: DataFrame, rows: int, each: int = 1 << 14) -> DataFrame:
+    """df in no more partitions than its rows fill, each with about so many; rows is a count or an upper bound."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends at durable files. rows: a bound, where known."""
     spark = df.sparkSession
+    if rows is not None:
+        df = few(df, rows)
     path = f"{shared_dir(spark)}/mailward/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Delete the files of a table that written() made and that nothing will read again."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = f"{shared_dir(spark)}/mailward/"
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(own).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m"):
+    """Arrow batches of few rows and bytes for what is written inside: whole texts travel in them, two a row at times."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint when its counted size is small; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -55,5 +90,9 @@ def without_spaces(text: Column) -> Column:
     return out
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
+def fresh(name: str, columns) -> str:
+    """name, or name with underscores behind it, such that no column is called so in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,53 +1,58 @@
 """Jaccard self-join on word shingles by token-combination prefixes (operator 1).
 
 A document becomes the set of its hashed shingles. Equal sets form a class, and one class is one node.
-All tokens have a global order: rare ones first, then classes of rising frequency. With n tokens and at
-least t in common with any partner, the first common token lies among a set's first n - t + 1 tokens and
-the first two among its first n - t + 2. If the first common token is rare, the rare tokens of the
-shorter prefix, indexed alone, meet. If it is frequent, the second is frequent too, and the pairs of
-frequent tokens of the extended prefix, indexed as combinations, meet. Sets of LONG tokens or more have
-too many combinations; they index frequent tokens alone, and sets that a long one may link with index
-both, so no link is lost.
+All tokens have a global order: rare ones first, then classes of rising frequency. Let two sets link, with
+e tokens of the one outside the other at most, and d outside either at most. Their first common token is
+among the first e + 1 of each. If it is rare, the rare tokens there, indexed alone, meet. If it is frequent,
+so are all common ones. Frequent tokens are indexed in combinations of k neighbours in the order, where k
+rises with the frequency class of the first. A token outside the other set breaks k - 1 combinations at
+most, so of the first (k - 1)(d + 1) + 1 common tokens one combination stays whole in both sets: the prefix is
+extended that far, and the combinations in it, as many as it has tokens, meet. Small sets and low
+similarities have too few common tokens for a large k; cap_of gives the largest that is safe for the
+smaller set of a pair, and a set indexes its combinations for each cap that a partner may ask for.
 
 Candidates are verified on whole sets, in two steps that never list all pairs of a group. Each node is
 first checked against one node that leads its postings, which joins groups of near copies into
-components. Afterwards only postings that still hold several components are compared, in cells of bounded
-size, across components and within the lengths that a link allows; parity bitmaps, whose distance never
-exceeds that of the sets, rule pairs out inside a cell, before a pair is written or a text is read. Rounds
-in which each node is verified with its nearest partner of another component come first, since they join
-what is left of large groups with few pairs; the last round verifies all pairs that remain.
+components. Afterwards the postings that still hold several components are gathered by their smallest
+component, each node once, and compared in cells of bounded size, across components and within the lengths
+that a link allows; parity bitmaps, whose distance never exceeds that of the sets, rule pairs out inside a
+cell, before a pair is written or a text is read. A cell gives the nearest partners of each node, in rounds:
+one at first, more when few of them prove to be links, until each pair left is verified.
 
 Frequencies come from a histogram of all tokens over hash buckets of fixed number (a bounded array, also
 when it is broadcast). It only decides the order of tokens, never a result.
 
-Shingles are compared by 64-bit hashes. Defined results: null, empty and blank texts have no shingles
-and link with nothing. Fewer words than a shingle has are one shingle. Repeated rows are equal sets. A
-null doc_id comes last. An empty table gives an empty result. Extra columns are ignored.
+Words and shingles are compared by 64-bit hashes (words by a polynomial modulo 2**64, whose collisions could
+be constructed on purpose). Defined results: null, empty and blank texts have no shingles and link with
+nothing. Fewer words than a shingle has are one shingle. Repeated rows are equal sets. A null doc_id comes
+last. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table, written
-from .components import components
+from .common import discarded, few, fresh, maybe_broadcast, small_batches, table, written
+from .components import components, merged
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS = 20
 BLOCKS = 64
-LONG = 300
 #: Tokens of buckets that exceed the median by so many rows (and by the noise of the median) are frequent.
 FREQUENT = 32
-PARITY_BITS = 512
-#: Postings with more rows are split into bands of length.
-BANDED = 64
-#: Rows of one block of a posting.
-BLOCK_ROWS = 512
+#: Tokens of a combination, by the rows of its first token: two, from 2**8 rows three, from 2**11 rows four.
+THREE, FOUR = 9, 12
+MOST = 4
+#: Bits of the smallest and the largest parity bitmap; in between, four times the tokens and more.
+PARITY_BITS, PARITY_MOST = 512, 1 << 16
+#: Bytes of one block of a cell: of its bitmaps, and ROW_BYTES for each row, which bounds the pairs compared in a task.
+BLOCK_BYTES, ROW_BYTES = 4 << 20, 512
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -61,7 +66,7 @@ def _node(digest: Column, salt: int) -> Column:
 def _parity(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' counts by hash; a power of two bits, more for larger sets. Halves fold by XOR."""
     size = PARITY_BITS
-    while 3 * size < len(tokens):
+    while size < min(4 * len(tokens), PARITY_MOST):
         size *= 2
     bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
@@ -84,16 +89,16 @@ def _summaries(width: int):
                     waiting, waits = [], 0
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary()), batch.column(2)],
-                names=["block", "doc_id", "n", "digest", "data", "sha"],
+                [pa.nulls(n, pa.int32()), keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary()), batch.column(2), batch.column(3)],
+                names=["block", "doc_id", "n", "digest", "data", "sha", "mark"],
             )
         if waits:
             counts += np.bincount(np.concatenate(waiting), minlength=1 << BUCKET_BITS).astype(np.uint32)
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(parts, pa.binary()), pa.nulls(BLOCKS, pa.binary())],
-                names=["block", "doc_id", "n", "digest", "data", "sha"],
+                [pa.array(range(BLOCKS), pa.int32()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(parts, pa.binary()), pa.nulls(BLOCKS, pa.binary()), pa.nulls(BLOCKS, pa.int64())],
+                names=["block", "doc_id", "n", "digest", "data", "sha", "mark"],
             )
 
     return run
@@ -116,27 +121,64 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
     return np.where(excess > bar, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
-def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set: rare tokens, and combinations (or, for long sets, single) frequent ones."""
+def least_common(total: int, percent: int) -> int:
+    """Common tokens that two sets of so many tokens together need for a link."""
+    return -(-percent * total // (100 + percent))
+
+
+@cache
+def cap_of(n: int, percent: int) -> int:
+    """The longest combination that a pair can rely on whose smaller set has n tokens.
+
+    With d tokens outside at most, k - 1 times d + 1 and one more must be common. Equal sets (d = 0) are one class.
+    """
+    for k in range(MOST, 1, -1):
+        room = percent - (k - 1) * (100 - percent)
+        if room > 0:
+            sums = range(2 * n, max(2 * n, k * (100 + percent) // room + 1))
+            needs = ((least_common(s, percent), s) for s in sums)
+            if all(s == 2 * c or c >= (k - 1) * (s - 2 * c + 1) + 1 for c, s in needs):
+                return k
+    return 1
+
+
+def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, and which of them it also needs as the smaller set of a pair.
+
+    Every pair meets at a key that its smaller set needs as such.
+    """
     n = len(tokens)
     if not n:
-        return tokens
-    least = (percent * n + 99) // 100
+        return tokens, np.zeros(0, bool)
     level = levels[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    order = np.lexsort((tokens, level))[: n - least + 2]
+    order = np.lexsort((tokens, level))
     ranked, level = tokens[order], level[order]
-    single, frequent = ranked[: n - least + 1], level[: n - least + 1] > 0
-    keys = [single[~frequent]]
-    if n * 100 >= percent * LONG:
-        keys.append(single[frequent])
-    if n < LONG:
-        pool = ranked[level > 0]
-        a, b = np.triu_indices(len(pool), 1)
-        keys.append(mix(mix(pool[a]) + mix(pool[b] ^ np.uint64(0x5851F42D4C957F2D))))
-        # A set of one token has no second one; its only token is indexed alone.
-        if n == 1:
-            keys.append(single)
-    return np.unique(np.concatenate(keys))
+    rare = int(np.searchsorted(level, 1))
+    least = -(-percent * n // 100)
+    # Tokens that may be missing, and tokens outside either set, as the larger and as the smaller one.
+    larger, smaller = n - least, n - least_common(2 * n, percent)
+    apart_l = 2 * n - 2 * least_common(2 * n, percent)
+    both = n + n * 100 // percent
+    apart_s = max(both - 1 - 2 * least_common(both - 1, percent), both - 2 * least_common(both, percent), apart_l)
+    keys, small = [ranked[: min(rare, larger + 1)]], [np.arange(min(rare, larger + 1)) <= smaller]
+    pool, hot = ranked[rare:], level[rare:]
+    if rare <= larger and len(pool):
+        wanted = 2 + (hot >= THREE).astype(np.int64) + (hot >= FOUR)
+        own = cap_of(n, percent)
+        for cap in range(cap_of(max(1, least), percent), own + 1):
+            k = np.minimum(wanted, cap)
+            most = int(k.max())
+            ends = [(most - 1) * (max(0, apart - rare) + 1) + 1 + missing - rare for apart, missing in ((max(apart_l, apart_s), larger), (apart_s, smaller))]
+            end = min(len(pool), ends[0])
+            for size in range(1, most + 1):
+                at = np.flatnonzero(k[: max(0, end - size + 1)] == size)
+                if len(at):
+                    key = np.full(len(at), size + 8 * cap, np.uint64)
+                    for i in range(size):
+                        key = mix(key + pool[at + i])
+                    keys.append(key)
+                    small.append((at + size <= ends[1]) & (rare <= smaller) & (cap == own))
+    return np.concatenate(keys), np.concatenate(small)
 
 
 def _postings(width: int, percent: int, shared):
@@ -144,160 +186,202 @@ def _postings(width: int, percent: int, shared):
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(nodes), 2000):
-                held = [prefix_keys(s, levels, percent).view(np.int64) for s in shingle_sets(texts[at : at + 2000], width)]
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes[at : at + 2000], np.int64), [len(h) for h in held]))], names=["key", "node"])
+            held, size, first = [], 0, 0
+            for i, s in enumerate(shingle_sets(texts, width)):
+                held.append((*prefix_keys(s, levels, percent), len(s)))
+                size += len(held[-1][0])
+                if size >= 1 << 20 or i + 1 == len(texts):
+                    counts = [len(k) for k, _, _ in held]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([k for k, _, _ in held]).view(np.int64)),
+                            pa.array(np.repeat(np.array(nodes[first : i + 1], np.int64), counts)),
+                            pa.array(np.concatenate([m for _, m, _ in held])),
+                            pa.array(np.repeat(np.array([n for _, _, n in held], np.int32), counts)),
+                        ],
+                        names=["key", "node", "small", "n"],
+                    )
+                    held, size, first = [], 0, i + 1
 
     return run
 
 
-def _verified(pairs: DataFrame, rows: int, reps: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets reach the similarity. The texts of a go to those of b; sets are made on arrival.
-
-    A doc_id may have several texts, so the digest tells the right one; of repeated rows of b one is enough.
-    """
-    known = reps.select("node", "key_id", "digest")
-    asked = pairs.join(known.withColumnsRenamed({"node": "a", "digest": "da"}), "a")
-    left = own.join(maybe_broadcast(asked, rows, 80), "key_id").select("a", "b", "da", F.col("text").alias("x"))
-    leads = pairs.select("b").distinct().join(known.withColumnsRenamed({"node": "b", "digest": "db"}), "b")
-    right = own.join(maybe_broadcast(leads, rows, 80), "key_id").select("b", "db", F.col("text").alias("y"))
-
-    def right_ones(batches):
-        for batch in batches:
-            good = [_digest(s) == d for d, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist(), width), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    right = right.mapInArrow(right_ones, right.schema).dropDuplicates(["b"])
+def _verified(pairs: DataFrame, rows: int, reps: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) whose sets reach the similarity. The texts of a go to those of b; sets are made on arrival."""
+    few_pairs = maybe_broadcast(pairs, rows, 32)
+    asked = few_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = reps.select("node", "key_id", "mark").join(maybe_broadcast(asked, 2 * rows, 16), "node")
+    # Of repeated rows one is enough.
+    texts = keyed.join(maybe_broadcast(found, 2 * rows, 40), ["key_id", "mark"]).select("node", "text").dropDuplicates(["node"])
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(few_pairs, "a")
+    full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches):
         last, other = None, None
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            good = []
-            for i, (b, d, s) in enumerate(zip(names, batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist(), width), strict=True)):
-                if _digest(s) != d:
-                    good.append(False)
-                    continue
+            names, good = batch.column(1).to_pylist(), []
+            for i, (b, s) in enumerate(zip(names, shingle_sets(batch.column(2).to_pylist(), width), strict=True)):
                 if b != last:
-                    last, other = b, next(iter(shingle_sets([batch.column(4)[i].as_py()], width)))
+                    last, other = b, next(iter(shingle_sets([batch.column(3)[i].as_py()], width)))
                 both = len(np.intersect1d(s, other, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return written(few(full, rows, 512).mapInArrow(compare, "a long, b long"), "links")
+
+
+def _words(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded to so many words; a link's distance stays a lower bound."""
+    words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+    while words.shape[1] > size:
+        words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+    return words
+
+
+def _limit(total, percent: int):
+    """Tokens outside either of two sets of so many tokens together that a link allows."""
+    return total - 2 * (-(-percent * total // (100 + percent)))
+
+
+def _apart(bits, one, two) -> np.ndarray:
+    """Differing bits of the pairs (one, two), each compared at the length of its shorter bitmap."""
+    sizes = np.array([len(b) // 8 for b in bits])
+    out = np.zeros(len(one), np.int64)
+    shapes = np.stack([sizes[one], sizes[two]], 1)
+    for x, y in np.unique(shapes, axis=0):
+        own = np.flatnonzero((shapes[:, 0] == x) & (shapes[:, 1] == y))
+        step = max(1, (1 << 19) // max(x, y))
+        for c in range(0, len(own), step):
+            part = own[c : c + step]
+            a, b = (_words([bits[i] for i in side[part]], min(x, y)) for side in (one, two))
+            out[part] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
+def _close(label, n, bits, percent: int):
+    """(i, j, differing bits) arrays of one cell's pairs of different labels that lengths and bitmaps do not rule out."""
+    order = np.argsort(n, kind="stable")
+    label, n, bits = label[order], n[order], [bits[i] for i in order]
+    short = np.empty((len(n), PARITY_BITS // 64), np.uint64)
+    sizes = np.array([len(b) for b in bits])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        for c in range(0, len(at), 1 << 10):
+            short[at[c : c + (1 << 10)]] = _words([bits[i] for i in at[c : c + (1 << 10)]], PARITY_BITS // 64)
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    for c in range(0, len(n), 128):
+        upto = int(ends[min(c + 128, len(n)) - 1])
+        p, q = np.arange(c, min(c + 128, len(n))), np.arange(c + 1, upto)
+        for d in range(0, len(q), 2048):
+            other = q[d : d + 2048]
+            i, j = np.nonzero((label[p][:, None] != label[other]) & (p[:, None] < other) & (other < ends[p][:, None]))
+            if len(i) * 4 > len(p) * len(other):
+                apart = np.bitwise_count(short[p][:, None, :] ^ short[other]).sum(2, dtype=np.int32)[i, j]
+            else:
+                apart = np.bitwise_count(short[p[i]] ^ short[other[j]]).sum(1, dtype=np.int32)
+            one, two = p[i], other[j]
+            near = apart <= _limit(n[one] + n[two], percent)
+            one, two = one[near], two[near]
+            if len(one):
+                apart = _apart(bits, one, two)
+                near = apart <= _limit(n[one] + n[two], percent)
+                yield order[one[near]], order[two[near]], apart[near]
+
+
+def _nearest(one, two, apart, most: int):
+    """For each node of the pairs the partners that differ least, ties to the smaller one; and how many pairs neither side lists."""
+    a, b, d = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([apart, apart])
+    order = np.lexsort((b, d, a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+    kept = rank < most
+    listed = np.zeros(len(one), np.int64)
+    np.add.at(listed, order[kept] % len(one), 1)
+    return a[kept], b[kept], d[order][kept], int((listed == 0).sum())
+
 
-    full = left.join(right, "b").select("a", "b", "da", "x", "y")
-    return written(full.mapInArrow(compare, "a long, b long"), "links")
+def _cells(percent: int, most: int):
+    """Each node's nearest partners in each cell; rows arrive sorted by cell, which may span batches."""
 
+    def run(batches):
+        held: list[tuple] = []
 
-def _folded(x: Column, size: Column) -> Column:
-    """A bitmap of longs at size longs, itself or half of its own; sets within a link's lengths differ by no more."""
-    half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
-    return F.when(F.size(x) > size, half).otherwise(x)
+        def compare():
+            node, label, n = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
+            found = list(_close(label, n, [r[4] for r in held], percent))
+            if found:
+                one, two, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+                if len(one):
+                    a, b, d, left = _nearest(node[one], node[two], apart, most)
+                    lefts = np.where(np.arange(len(a)) == 0, left, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, d, lefts)], names=["a", "b", "apart", "left"])
 
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield from compare()
+                    held = []
+                held.append(row)
+        if held:
+            yield from compare()
 
-def _distance_bound(x: Column, y: Column) -> Column:
-    """Differing bits of two parity bitmaps, compared at the smaller size."""
-    size = F.least(F.size(x), F.size(y))
-    return F.aggregate(F.zip_with(_folded(x, size), _folded(y, size), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
+    return run
 
 
-def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that lengths and parity bitmaps do not rule out; no link is lost."""
-    sides = [reps.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
-    marked = pairs.join(sides[0], "a").join(sides[1], "b")
-    lengths = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    # Lengths come first: bitmaps of other lengths may not fold onto each other.
-    differ = _distance_bound(F.col("bits_a"), F.col("bits_b")) * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    return marked.filter(F.when(lengths, differ).otherwise(F.lit(False))).select("a", "b")
-
-
-def _close(node, label, n, words, flat, percent: int):
-    """(a, b, differing bits) arrays of one cell's pairs of different labels that lengths and bitmaps do not rule out."""
-    at = np.cumsum(words) - words
-    sizes = np.unique(words)
-    for w in sizes:
-        own = np.flatnonzero(words == w)
-        x = flat[at[own][:, None] + np.arange(w)]
-        for v in sizes[sizes >= w]:
-            other = np.flatnonzero(words == v)
-            y = flat[at[other][:, None] + np.arange(v)]
-            while y.shape[1] > w:
-                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            for c in range(0, len(own), 128):
-                p = own[c : c + 128]
-                n_a, n_b, l_a, l_b = n[p][:, None], n[other], label[p][:, None], label[other]
-                # Of the same size each pair stands in both triangles; labels pick one of them.
-                good = (l_a < l_b if v == w else l_a != l_b) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-                i, j = np.nonzero(good)
-                for k in range(0, len(i), 1 << 14):
-                    f, g = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                    apart = np.bitwise_count(x[c : c + 128][f] ^ y[g]).sum(1, dtype=np.int64)
-                    kept = apart * (100 + percent) <= (100 - percent) * (n[p[f]] + n[other[g]])
-                    yield node[p[f[kept]]], node[other[g[kept]]], apart[kept]
-
-
-def _nearest(one, two, apart):
-    """For each node of the pairs the one that differs least, ties to the smaller partner."""
-    a, b, d = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([apart, apart])
-    order = np.lexsort((b, d, a))
-    first = order[np.flatnonzero(np.diff(a[order], prepend=a[order[0]] - 1 if a[order[0]] > -(2**63) else 0))]
-    return a[first], b[first], d[first]
+def _coarse(batches):
+    """Bitmaps folded to about as many bits as the set has tokens: what cells compare before whole bitmaps do."""
+    for batch in batches:
+        short = []
+        for n, bits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            size = PARITY_BITS // 64
+            while 64 * size < n:
+                size *= 2
+            short.append(_words([bits], min(size, len(bits) // 8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.binary())], names=["node", "n", "bits"])
 
 
-def _cells(percent: int, nearest: bool):
-    """Pairs of each cell, all or each node's nearest; rows arrive sorted by cell, and the last cell of a batch waits for the next one."""
+def _possible(pairs: DataFrame, rows: int, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b), rows of them, that lengths and parity bitmaps do not rule out; no link is lost."""
+    sides = [reps.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    one = sides[0].join(maybe_broadcast(pairs, rows, 32), "a")
+    marked = sides[1].join(maybe_broadcast(one, rows, PARITY_MOST // 8), "b").filter(near).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def run(batches):
-        held = None
-
-        def compare(parts, upto):
-            cell, node, label, n, words, flat = parts
-            starts = np.flatnonzero(np.diff(cell[:upto], prepend=cell[0] - 1 if cell[0] > -(2**63) else 1))
-            ends = np.append(starts[1:], upto)
-            at = np.concatenate([[0], np.cumsum(words)])
-            found = [pair for s, e in zip(starts, ends, strict=True) if e - s > 1 for pair in _close(node[s:e], label[s:e], n[s:e], words[s:e], flat[at[s] : at[e]], percent)]
-            if found:
-                one, two, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-                if nearest and len(one):
-                    one, two, apart = _nearest(one, two, apart)
-                both = np.unique(np.stack([one, two, apart], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, i]) for i in range(3)], names=["a", "b", "apart"])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(4)
-            parts = [*(batch.column(i).to_numpy() for i in range(4)), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)]
-            held = parts if held is None else [np.concatenate(z) for z in zip(held, parts, strict=True)]
-            last = int(np.flatnonzero(held[0] != held[0][-1]).max(initial=-1)) + 1
-            if last:
-                yield from compare(held, last)
-                cut = int(held[4][:last].sum())
-                held = [*(h[last:] for h in held[:5]), held[5][cut:]]
-        if held is not None:
-            yield from compare(held, len(held[0]))
+            m = batch.num_rows
+            if m:
+                n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                apart = _apart(batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(m), np.arange(m) + m)
+                yield batch.select(["a", "b"]).filter(pa.array(apart <= _limit(n, percent)))
 
-    return run
+    return written(few(marked, rows, 4096).mapInArrow(run, "a long, b long"), "possible", rows)
 
 
-def _across(rest: DataFrame, reps: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Distinct candidate pairs(a, b) with different labels of the postings rest(key, node, n, label, rows): all, or each node's nearest.
+def _across(held: DataFrame, held_n: int, nodes: DataFrame, nodes_bytes: int, percent: int, most: int) -> DataFrame:
+    """(a, b, apart, left): nearest partners with other labels in the held_n postings held(key, node, label), and how many pairs of a cell are in no list.
 
-    Postings are compared in cells of bounded size: those of many rows are cut into bands of length, where
-    partners are one band apart at most, and into blocks of nodes, of which every two meet in one cell. A cell
-    compares bitmaps and gives only the pairs that these do not rule out.
+    The postings of several labels are gathered by their smallest label, so a node that shares hundreds of
+    keys with a group of near copies stands in its cell once. Cells of many bytes are cut into bands of
+    length, where partners are one band apart at most, and into blocks of nodes, of which every two meet.
     """
-    width = reps.agg(F.sum(F.size("bits") * 8 + 32)).first()[0] or 0
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    bands = F.when(F.col("rows") > BANDED, F.array(band, band + 1)).otherwise(F.array(F.lit(-9)))
-    count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("long")
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), count)).withColumn("band", F.explode(bands)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    cell = F.xxhash64("key", "band", F.least("block", "other"), F.greatest("block", "other"))
-    rows = dealt.select(cell.alias("cell"), "node", "label", "n").join(maybe_broadcast(reps.select("node", "bits"), 1, width), "node").select("cell", "node", "label", "n", "bits")
-    met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(percent, nearest), "a long, b long, apart long")
-    if nearest:
-        met = met.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select(F.greatest("a", "best.b").alias("x"), F.least("a", "best.b").alias("b")).withColumnRenamed("x", "a")
-    return met.select("a", "b").distinct()
+    keys = held.groupBy("key").agg(F.min("label").alias("cell"), F.max("label").alias("last")).filter("cell < last").select("key", "cell")
+    placed = held.join(keys, "key").select("cell", "node", "label").distinct()
+    rows = written(placed.join(maybe_broadcast(nodes.withColumn("cost", F.length("bits") + ROW_BYTES), 1, nodes_bytes), "node"), "cells", held_n)
+    sizes = rows.groupBy("cell").agg(F.sum("cost").alias("size"))
+    found, most_bytes = sizes.agg(F.sum("size"), F.max("size")).first()
+    dealt, cell = rows, F.col("cell")
+    if (most_bytes or 0) > BLOCK_BYTES:
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+        bands = F.when(F.col("size").isNotNull(), F.array(band, band + 1)).otherwise(F.array(F.lit(-9)))
+        banded = rows.join(sizes.filter(F.col("size") > BLOCK_BYTES), "cell", "left").withColumn("band", F.explode(bands)).drop("size")
+        count = banded.groupBy("cell", "band").agg(F.ceil(F.sum("cost") / BLOCK_BYTES).cast("long").alias("count")).filter("count > 1")
+        dealt = banded.join(count, ["cell", "band"], "left").withColumn("count", F.coalesce("count", F.lit(1).cast("long")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), "count")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+        cell = F.xxhash64("cell", "band", F.least("block", "other"), F.greatest("block", "other"))
+    met = dealt.select(cell.alias("cell"), "node", "label", "n", "bits").repartition("cell").sortWithinPartitions("cell")
+    return written(few(met, found or 0, BLOCK_BYTES).mapInArrow(_cells(percent, most), "a long, b long, apart long, left long"), "nearest")
 
 
 def _text_sha(docs: DataFrame) -> Column:
@@ -306,74 +390,101 @@ def _text_sha(docs: DataFrame) -> Column:
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...)."""
-    return _named_texts(docs.withColumn("__sha", F.lit(None).cast("binary")), width, percent).drop("text_sha")
+    return _named_texts(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("__sha")), width, percent).drop("text_sha")
 
 
 def _named_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near_components of docs(doc_id, text, __sha, ...), with __sha as text_sha: a doc_id may have several texts."""
+    with small_batches(docs.sparkSession):
+        return _joined_texts(docs, width, percent)
+
+
+def _joined_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sha")
-    whole = written(named.mapInArrow(_summaries(width), "block int, doc_id long, n long, digest binary, data binary, sha binary"), "summaries")
+    # A text is found again by its doc_id and a hash of it: a doc_id, null too, may have many texts.
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sha", mark.alias("mark"))
+    whole = written(named.mapInArrow(_summaries(width), "block int, doc_id long, n long, digest binary, data binary, sha binary, mark long"), "summaries")
     members = whole.filter("block is null").select("doc_id", "n", "digest", "sha")
     counts = np.zeros((BLOCKS, (1 << BUCKET_BITS) // BLOCKS), np.uint64)
     blocks = whole.filter("block is not null").select("block", "data").repartition(BLOCKS, "block")
     for block, data in blocks.mapInArrow(_summed, "block int, data binary").collect():  # BLOCKS rows of fixed size
         counts[block] = np.frombuffer(data, np.uint64)
-    shared = spark.sparkContext.broadcast(frequency_levels(counts.ravel()).tobytes())
+    levels = spark.sparkContext.broadcast(frequency_levels(counts.ravel()).tobytes())
 
     # One number for each class of equal sets; salted anew in the unlikely case that two share it.
-    bitmap = F.transform(F.sequence(F.lit(0), (F.length("data") / 8 - 1).cast("int")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     far = F.lit(2**63 - 1)
     salt = 0
     while True:
-        reps = whole.filter("block is null and n > 0").groupBy(_node(F.col("digest"), salt).alias("node")).agg(
-            F.min(F.coalesce("doc_id", far)).alias("key_id"), F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("n").alias("n"), F.min("data").alias("data")
+        classes = whole.filter("block is null and n > 0").groupBy(_node(F.col("digest"), salt).alias("node")).agg(
+            F.min(F.struct(F.coalesce("doc_id", far).alias("key_id"), "mark")).alias("first"), F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("n").alias("n"), F.min("data").alias("bits")
         )
-        reps = written(reps.select("node", "key_id", "digest", "n", bitmap.alias("bits"), (F.col("digest") != F.col("last")).alias("clash")), "classes")
-        if not reps.filter("clash").limit(1).count():
+        reps = written(classes.select("node", "first.*", "digest", "n", "bits", (F.col("digest") != F.col("last")).alias("clash")), "classes")
+        reps_n, clash = reps.agg(F.count(F.lit(1)), F.coalesce(F.max("clash"), F.lit(False))).first()
+        if not clash:
             break
+        discarded(reps)
         salt += 1
 
-    keyed = own.withColumn("key_id", F.coalesce("doc_id", far))
+    keyed = named.select(F.coalesce("doc_id", far).alias("key_id"), "mark", "text")
     # Copies post nothing: only the text of a class's first document is indexed, once.
-    reps_n = reps.count()
-    first = maybe_broadcast(reps.select("node", "key_id"), reps_n, 32)
-    postings = keyed.join(first, "key_id").select("node", "text").mapInArrow(_postings(width, percent, shared), "key long, node long")
-    if members.filter("n > 0").withColumn("key_id", F.coalesce("doc_id", far)).join(first, "key_id").count() > reps_n:
-        postings = postings.distinct()  # a doc_id with several rows posts its keys more than once
-    postings = written(postings, "postings")
-    met = written(postings.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead"), "keys")
-    met_n = met.count()
-    held = written(postings.join(maybe_broadcast(met, met_n, 32), "key").join(maybe_broadcast(reps.select("node", "n"), reps_n, 32), "node"), "held")
+    first = maybe_broadcast(reps.select("node", "key_id", "mark"), reps_n, 40)
+    posted = keyed.join(first, ["key_id", "mark"]).select("node", "text").mapInArrow(_postings(width, percent, levels), "key long, node long, small boolean, n int")
+    postings = written(posted, "postings")
+    # Most keys have one row; they go first, with as little as possible in motion.
+    shared_keys = postings.groupBy("key").count().filter("count > 1").select("key")
+    several = written(postings.join(shared_keys, "key"), "several")
+    discarded(postings)
+    # Every link has a key that its smaller set needs as such, and its larger set is no smaller.
+    least = F.min(F.when(F.col("small"), F.col("n"))).alias("least")
+    met = several.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), least, F.count(F.lit(1)).alias("rows"), F.min("n").alias("from"), F.max("n").alias("to"))
+    met = met.filter(f"lead < last and least is not null and (rows > 2 or 100 * from >= {percent} * to)").select("key", "lead", "least")
+    # A doc_id with several rows may post a key more than once; that does no harm.
+    held = written(several.join(met, "key").filter("n >= least").select("key", "node", "lead"), "held")
+    discarded(several)
 
     votes = held.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    pairs = written(_possible(votes.select(F.col("node").alias("a"), F.col("lead").alias("b")), reps, percent), "pairs")
+    asked = written(votes.select(F.col("node").alias("a"), F.col("lead").alias("b")), "votes", reps_n)
+    pairs = _possible(asked, asked.count(), reps, percent)
     links = _verified(pairs, pairs.count(), reps, keyed, width, percent)
     joined = written(components(links), "components")
-
-    # Rounds of nearest partners join what is left of groups, a pair a node at most; the last round tries every pair.
-    nearest, last = True, False
-    while not last:
-        last = not nearest
-        known = held.join(maybe_broadcast(joined, joined.count(), 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Keys with the very same nodes ask the same questions; one of them is enough.
-        marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-        open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"), *marks).filter("x < y")
-        open_keys = written(open_keys.groupBy("x", "y", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rows"), "open_keys")
-        pairs = written(_across(known.join(maybe_broadcast(open_keys, open_keys.count(), 32), "key"), reps, percent, nearest), "pairs")
-        found = pairs.count()
-        if not found:
-            break
-        more = _verified(pairs, found, reps, keyed, width, percent)
-        links = links.unionByName(more)
-        joined = written(components(links), "components")
-        # While a quarter of the nearest partners are links, groups shrink by a constant share a round.
-        nearest = nearest and 4 * more.count() >= found
+    tried = asked
+
+    # Rounds of nearest partners join what is left of groups; in the last one each pair left has been tried.
+    nodes = held.select("node").distinct().join(reps.select("node", "n", "bits"), "node").select("node", "n", "bits")
+    nodes = written(nodes.mapInArrow(_coarse, "node long, n long, bits binary"), "nodes", reps_n)
+    nodes_bytes = nodes.agg(F.sum(F.length("bits") + 64)).first()[0] or 0
+    most, left = 1, 1
+    while left:
+        held_n, joined_n = held.count(), joined.count()
+        known = held.select("key", "node").join(maybe_broadcast(joined, joined_n, 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        nearest = _across(known, held_n, nodes, nodes_bytes, percent, most)
+        left, listed = nearest.agg(F.sum("left" if most > 1 else F.lit(1)), F.count(F.lit(1))).first()
+        best = nearest.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if most == 1 else nearest
+        fresh_pairs = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        old = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = written(fresh_pairs.join(old, ["a", "b"], "left_anti"), "pairs", listed)
+        found, good = pairs.count(), 0
+        if found:
+            likely = _possible(pairs, found, reps, percent)
+            more = _verified(likely, likely.count(), reps, keyed, width, percent)
+            good = more.count()
+            tried = tried.unionByName(pairs)
+        if good:
+            joined = written(merged(joined, more), "components", joined_n + 2 * good)
+        # A node without any partner left in this round gets none later, since labels only merge.
+        if left:
+            asking = nearest.select(F.col("a").alias("node")).distinct()
+            held, spent = written(held.join(maybe_broadcast(asking, listed, 16), "node", "left_semi"), "held", held_n), held
+            discarded(spent)
+        # While half of the nearest partners are links, groups shrink by a constant share a round.
+        if 2 * good < max(found, 1):
+            most *= 8
 
     named = reps.select("node", "key_id").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("key_id").alias("component"))
-    owner = written(named.join(least, "label").select("node", F.nullif("component", far).alias("component")), "owners")
+    owner = written(named.join(least, "label").select("node", F.nullif("component", far).alias("component")), "owners", reps_n)
+    discarded(held)
     return (
         members.withColumn("node", _node(F.col("digest"), salt))
         .join(maybe_broadcast(owner, reps_n, 32), "node", "left")
@@ -386,16 +497,27 @@ def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     Rows with the same doc_id as their component's smallest all stay, as do texts without shingles.
     """
-    keyed = docs.withColumn("__sha", _text_sha(docs))
-    found = _named_texts(keyed, width, percent).filter("component_id < doc_id or doc_id is null and component_id is not null")
+    sha = fresh("sha", docs.columns)
+    keyed = docs.withColumn(sha, _text_sha(docs))
+    found = _named_texts(docs.select("doc_id", "text", _text_sha(docs).alias("__sha")), width, percent).filter("component_id < doc_id or doc_id is null and component_id is not null")
     gone = written(found.select(F.col("doc_id").alias("__gone"), F.col("text_sha").alias("__gone_sha")).distinct(), "gone")
     side = maybe_broadcast(gone, gone.count(), 64)
-    return keyed.join(side, keyed["doc_id"].cast("long").eqNullSafe(side["__gone"]) & (keyed["__sha"] == side["__gone_sha"]), "left_anti").drop("__sha")
+    return keyed.join(side, keyed["doc_id"].cast("long").eqNullSafe(side["__gone"]) & (keyed[sha] == side["__gone_sha"]), "left_anti").drop(sha)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
+#: All pairs that share a shingle, and the closure of their links: for small tables only.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u AS a JOIN u AS b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
 QUERIES = {"op1_ngram_join": op1_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_ngram_join": SQL}
