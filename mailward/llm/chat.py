@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table, written
+from .common import fresh, maybe_broadcast, table, written
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What would end or open a turn, here or in other common templates.
@@ -130,21 +130,26 @@ def _seen(records: DataFrame) -> DataFrame:
     return seen.withColumn("fingerprint", fingerprint(F.col("record"), F.col("__paths")))
 
 
+def _named_seen(records: DataFrame) -> DataFrame:
+    return _seen(records.select("record"))
+
+
 def without_layout(records: DataFrame) -> DataFrame:
     """fingerprint, records, example of each fingerprint that fits no layout; null for what is no JSON object."""
-    return layouts(_seen(records)).filter("layout is null").drop("layout")
+    return layouts(_named_seen(records)).filter("layout is null").drop("layout")
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """records (record, ...) with fingerprint, layout and turns added."""
-    own = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
-    seen = written(_seen(records.select(*own)), "records")
+    """records (record, ...) with fingerprint, layout and turns added; columns called so before give way, all others pass through."""
+    own = [c for c in records.columns if c.lower() not in ("fingerprint", "layout", "turns")]
+    aside = {c: fresh("own_paths", records.columns) for c in own if c.lower() == "__paths"}
+    seen = written(_seen(records.select(*own).withColumnsRenamed(aside)), "records")
     known = written(layouts(seen).select("fingerprint", "layout"), "layouts")
     seen = seen.drop("__paths").join(maybe_broadcast(known, known.count(), 64), "fingerprint", "left")
     turns = F.array().cast(_TURNS)
     for x in reversed(LAYOUTS):
         turns = F.when(F.col("layout") == x.name, F.coalesce(x.turns(F.from_json("record", x.schema)), F.array().cast(_TURNS))).otherwise(turns)
-    return seen.select(*own, "fingerprint", "layout", turns.alias("turns"))
+    return seen.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in own], "fingerprint", "layout", turns.alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -218,5 +223,18 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MARK = r"^[<\[](/?(s>|INST\]|SYS>>|<SYS)|\||<)"
+_LONG = f"length({{x}}) + length({{x}}) - length(replace({{x}}, '\\', '')) + len([1 FOR i IN range(1, length({{x}}) + 1) IF regexp_matches(substr({{x}}, i, 8), '{_MARK}')])"
+SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (SELECT *, {_LONG.format(x="role")} + {_LONG.format(x="text")} + {len(TURN + TEXT + END)} AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 QUERIES = {"op4_chat": op4_chat}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_chat": SQL}

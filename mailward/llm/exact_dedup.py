@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table, without_spaces, written
+from .common import fresh, maybe_broadcast, table, without_spaces, written
 from .quotient import CountingQuotientFilter
 
 #: Fingerprints that one range of the merge should hold.
@@ -122,10 +122,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     multiple = flags.filter("kept and rows > 1").select("doc_id", "text_sha256", "__chars")
     digest = F.sha2(without_spaces(F.col("text")).cast("binary"), 256)
     n_gone = gone.count()
-    keyed = docs.withColumn("__sha", digest)
+    sha = fresh("sha", docs.columns)
+    keyed = docs.withColumn(sha, digest)
 
     def same(other):
-        return keyed["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (keyed["__sha"] == other["text_sha256"])
+        return keyed["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (keyed[sha] == other["text_sha256"])
 
     side = maybe_broadcast(gone, n_gone, 128)
     kept = keyed.join(side, same(side), "left_anti")
@@ -133,9 +134,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     if n_multiple:
         once = maybe_broadcast(multiple, n_multiple, 128)
         longest = F.length(F.coalesce(keyed["text"], F.lit(""))) == once["__chars"]
-        rows = keyed.join(once, same(once) & longest, "left_semi").dropDuplicates(["doc_id", "__sha"])
-        kept = kept.join(once, kept["doc_id"].cast("long").eqNullSafe(once["doc_id"]) & (kept["__sha"] == once["text_sha256"]), "left_anti").unionByName(rows)
-    return kept.drop("__sha")
+        rows = keyed.join(once, same(once) & longest, "left_semi").dropDuplicates(["doc_id", sha])
+        kept = kept.join(once, kept["doc_id"].cast("long").eqNullSafe(once["doc_id"]) & (kept[sha] == once["text_sha256"]), "left_anti").unionByName(rows)
+    return kept.drop(sha)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-MAX_CLASSES = 64
+MAX_CLASSES = 256
 UNKNOWN = "und"
 CHUNK = 1 << 18
 
@@ -47,14 +47,14 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
 
-def _subwords(raw: np.ndarray):
-    """For each order, (positions, buckets) of the subwords of the folded bytes."""
+def _subwords(raw: np.ndarray, most: int | None = None):
+    """For each order, (positions, buckets) of the subwords of the folded bytes; only of those that start among the first most."""
     b = _FOLD[raw]
     edge = b == _EDGE
     for n in ORDERS:
         if len(b) < n:
             continue
-        m = len(b) - n + 1
+        m = len(b) - n + 1 if most is None else min(len(b) - n + 1, most)
         key = np.full(m, n, np.uint32)
         for i in range(n):
             key *= np.uint32(0x01000193)
@@ -83,7 +83,8 @@ class LanguageModel:
         total, count = np.zeros(len(self.classes)), 0
         raw = np.frombuffer(buffer, np.uint8)
         for start in range(0, max(1, len(raw)), CHUNK):
-            for _, buckets in _subwords(raw[start : start + CHUNK]):
+            # Subwords that start in this piece may end in the next one.
+            for _, buckets in _subwords(raw[start : start + CHUNK + max(ORDERS) - 1], CHUNK):
                 total += self.logits.T @ np.bincount(buckets, minlength=BUCKETS) if len(buckets) > 4 * BUCKETS else self.logits[buckets].sum(0, dtype=np.float64)
                 count += len(buckets)
         return total / max(1, count) + self.bias
@@ -210,8 +211,15 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows whose language the model fitted on docs does not reject; same columns."""
-    return predict(docs, fit(docs)).filter("not rejected").select(*docs.columns)
+    """The rows whose language the model fitted on docs does not reject; same columns with the same values, whatever they are called."""
+    made = ("lang_pred", "score", "rejected")
+    taken = list(docs.columns)
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in made:
+            aside[c] = fresh(f"own_{c}", [*taken, *aside.values()])
+    found = predict(docs.withColumnsRenamed(aside), fit(docs)).filter("not rejected")
+    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import fresh, table, written
 from .wordbpe import codec
 
 EXACT = 2048
@@ -79,7 +79,13 @@ def histogram(docs: DataFrame, length: str) -> list:
 
 
 def pack(docs: DataFrame, length: str, buckets: int = 16, budget: int = 32_768) -> DataFrame:
-    """docs (doc_id, a long column of lengths, ...) with bucket, bucket_length, batch_id, slot, padding."""
+    """docs (doc_id, a long column of lengths, ...) with bucket, bucket_length, batch_id, slot, padding.
+
+    Columns of docs that are called like one of these five give way; all others pass through.
+    """
+    made = ("bucket", "bucket_length", "batch_id", "slot", "padding")
+    docs = docs.select(*[docs[c] for c in docs.columns if c.lower() not in made])
+    shard_of, room_of, nth_of = (fresh(c, docs.columns) for c in ("shard", "room", "nth"))
     found = histogram(docs, length)
     lengths, counts, sums = (np.array([r[k] for r in found], np.int64) for k in ("most", "n", "tokens"))
     bounds = best_boundaries(lengths, counts, sums, buckets) or [0]
@@ -91,14 +97,14 @@ def pack(docs: DataFrame, length: str, buckets: int = 16, budget: int = 32_768)
         bucket, limit = F.when(here, k).otherwise(bucket), F.when(here, F.lit(bounds[k])).otherwise(limit)
         shards = F.when(here, max(1, int(np.ceil(counts[inside].sum() / SHARD_ROWS)))).otherwise(shards)
         room = F.when(here, max(1, budget // max(1, bounds[k]))).otherwise(room)
-    dealt = docs.select("*", bucket.alias("bucket"), limit.cast("long").alias("bucket_length"), F.pmod(F.xxhash64("doc_id", size), shards.cast("long")).alias("shard"), room.cast("long").alias("room"))
-    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", length)) - 1
+    dealt = docs.select("*", bucket.alias("bucket"), limit.cast("long").alias("bucket_length"), F.pmod(F.xxhash64("doc_id", size), shards.cast("long")).alias(shard_of), room.cast("long").alias(room_of))
+    nth = F.row_number().over(Window.partitionBy("bucket", shard_of).orderBy("doc_id", length)) - 1
     return (
-        dealt.withColumn("nth", nth.cast("long"))
-        .withColumn("batch_id", F.format_string("%d-%d-%d", "bucket", "shard", F.floor(F.col("nth") / F.col("room")).cast("long")))
-        .withColumn("slot", F.pmod("nth", "room"))
+        dealt.withColumn(nth_of, nth.cast("long"))
+        .withColumn("batch_id", F.format_string("%d-%d-%d", "bucket", shard_of, F.floor(F.col(nth_of) / F.col(room_of)).cast("long")))
+        .withColumn("slot", F.pmod(nth_of, room_of))
         .withColumn("padding", F.col("bucket_length") - size)
-        .drop("shard", "room", "nth")
+        .drop(shard_of, room_of, nth_of)
     )
 
 

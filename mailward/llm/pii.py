@@ -4,7 +4,7 @@ Validated numbers (payment cards by their check digit, account numbers by their
 telephone numbers, IPv4 addresses, US social security numbers), dates, the letters and digits of mail
 addresses and secret keys are permuted by a keyed Feistel network inside their own format. The permutation is a
 bijection of the format, so equal values stay linked across documents and different ones stay apart, and
-the holder of the key can undo it.
+the holder of the key can undo it. The key comes from the session (spark.mailward.pii.key); without one, each call makes its own.
 
 A format is a list of radices, one for each changeable place; separators stay. The network halves the
 list, and each round adds a keyed function of one half to the other, modulo its radix product. Cycle
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-DEFAULT_KEY = b"replace this key in production"
+#: Setting that holds the key of the permutations.
+KEY_SETTING = "spark.mailward.pii.key"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date", "secret")
 
@@ -314,8 +316,22 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonymise_texts(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False, spans_as: str = "pii") -> DataFrame:
-    """docs with text replaced and the finds (array of kind, start, end) added, in place of a column of that name."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting. Without one, a new key that nobody holds: values stay linked within the call, and cannot be undone."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if found is not None and len(found.encode()) < 16:
+        raise ValueError(f"{KEY_SETTING} needs 16 bytes or more")
+    return found.encode() if found else secrets.token_bytes(32)
+
+
+def pseudonymise_texts(docs: DataFrame, key: bytes | None = None, back: bool = False, spans_as: str = "pii") -> DataFrame:
+    """docs with text replaced and the finds (array of kind, start, end) added, in place of a column of that name.
+
+    Without a key the session's is taken; undoing needs the key.
+    """
+    if back and key is None:
+        raise ValueError("undoing needs the key")
+    key = key or session_key(docs.sparkSession)
     own = [c for c in docs.columns if c != spans_as]
     docs = docs.select(*[docs[c] for c in own])
     schema = T.StructType([*docs.schema.fields, T.StructField(spans_as, T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))])

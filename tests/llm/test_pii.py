@@ -26,7 +26,7 @@ def test_permutation_is_a_bijection():
 
 def test_frames(spark):
     docs = spark.createDataFrame([(1, TEXT, "x"), (None, None, None), (2, "", "y"), (2, "none here 12", "y")], "doc_id long, text string, pii string")
-    got = {r.text for r in pseudonymise_texts(docs).collect()}
+    got = {r.text for r in pseudonymise_texts(docs, b"replace this key in production").collect()}
     assert {None, "", "none here 12", pseudonymise(TEXT, Feistel(b"replace this key in production"))[0]} == got
     assert pseudonymise_texts(docs.limit(0)).count() == 0
 
@@ -75,3 +75,10 @@ def test_adjacent_values():
         assert [k for k, _, _ in spans] == [k for k, _ in values], text
         assert [restored(new[a:b], [(k, 0, b - a)], f) for k, a, b in spans] == [v for _, v in values], text
         assert restored(new, spans, f) == text and all(v not in new for _, v in values)
+
+
+def test_keys(spark):
+    docs = spark.createDataFrame([(1, "card 4785380592391139"), (2, "card 4785380592391139")], "doc_id long, text string")
+    one, other = ({r.text for r in pseudonymise_texts(docs).collect()} for _ in range(2))
+    assert len(one) == len(other) == 1 and one != other and docs.first().text not in one
+    assert pseudonymise("x " * 200_000 + "card 4785380592391139", Feistel(b"k"))[1][0][0] == "card"
