@@ -24,32 +24,37 @@ SELECT c_custkey AS k, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain,
 FROM customer
 """
 
-# Recorded answers of every query that a scan of these domains may ask, as a long table; lists are joined by a bar.
-# Names that only some rows have stay unanswered, which counts as an error.
-ANSWERS_SQL = f"""
-SELECT domain AS name, 'MX' AS rdtype, mx_status AS status, CASE WHEN mx_status <> 'ok' THEN '' WHEN k % 97 = 5 THEN 'mail.without.preference' WHEN k % 89 = 7 THEN '' WHEN k % 16 = 6 THEN concat(mx_raw, '|7 mta-gw.infomaniak.ch.') ELSE mx_raw END AS answers FROM raw
-UNION ALL SELECT domain, 'DS', CASE WHEN k % 23 = 0 THEN 'error' WHEN k % 5 IN (1, 2) THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 5 = 1 AND k % 23 <> 0 THEN '2371 13 2 AA' ELSE '' END FROM raw
-UNION ALL SELECT domain, 'NS', CASE WHEN k % 10 = 9 THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 10 = 9 THEN '' ELSE 'NS2.Example.net.|ns1.example.net.' END FROM raw
-UNION ALL SELECT domain, 'TXT', CASE WHEN k % 43 = 1 THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 43 = 1 THEN '' ELSE concat('site-check=1', CASE WHEN spf_raw IS NULL THEN '' ELSE concat('|', spf_raw, '|v=spf1 -all') END) END FROM raw
-UNION ALL SELECT domain, 'SPF', CASE WHEN k % 19 = 0 THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 19 = 0 THEN 'v=spf1 -all' ELSE '' END FROM raw WHERE k % 41 <> 0
-UNION ALL SELECT concat('_dmarc.', domain), 'TXT', CASE WHEN k % 37 = 0 THEN 'error' WHEN dmarc_raw IS NULL THEN 'noanswer' ELSE 'ok' END, CASE WHEN k % 37 = 0 OR dmarc_raw IS NULL THEN '' ELSE concat('other|', dmarc_raw) END FROM raw
-UNION ALL SELECT host, 'A', a_status, CASE WHEN a_status = 'ok' AND k % 12 <> 0 THEN '192.0.2.1' ELSE '' END FROM own
-UNION ALL SELECT host, 'AAAA', aaaa_status, CASE WHEN aaaa_status = 'ok' AND k % 18 <> 0 THEN '2001:db8::1' ELSE '' END FROM own
-UNION ALL SELECT concat('_25._tcp.', host), 'TLSA', CASE WHEN k % 61 = 0 THEN 'error' WHEN k % 14 IN (0, 5) THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 61 <> 0 AND k % 14 = 5 THEN '3 1 1 AB' ELSE '' END FROM own
-UNION ALL SELECT * FROM (VALUES ('aspmx.l.google.com', 'A', 'ok', '192.0.2.2'), ('alt1.aspmx.l.google.com', 'A', 'ok', ''), ('alt1.aspmx.l.google.com', 'AAAA', 'ok', '2001:db8::2'), ('mx1.hostpoint.ch', 'A', 'ok', '192.0.2.3'),
+# Recorded answers of every query that a scan of these domains may ask: name, type, status, answers joined by a bar,
+# and which rows have them. Names that only some rows have stay unanswered, which counts as an error.
+_HOST = "CASE k % 8 WHEN 0 THEN concat('d', CAST(k AS STRING), '-ch.mail.protection.outlook.com') ELSE concat('mx.d', CAST(k AS STRING), '.ch') END"
+_OWN, _ALL = "k % 8 IN (0, 5)", "true"
+_ANSWERS = [
+    ("domain", "MX", "mx_status", "CASE WHEN mx_status <> 'ok' THEN '' WHEN k % 97 = 5 THEN 'mail.without.preference' WHEN k % 89 = 7 THEN '' WHEN k % 16 = 6 THEN concat(mx_raw, '|7 mta-gw.infomaniak.ch.') ELSE mx_raw END", _ALL),
+    ("domain", "DS", "CASE WHEN k % 23 = 0 THEN 'error' WHEN k % 5 IN (1, 2) THEN 'ok' ELSE 'noanswer' END", "CASE WHEN k % 5 = 1 AND k % 23 <> 0 THEN '2371 13 2 AA' ELSE '' END", _ALL),
+    ("domain", "NS", "CASE WHEN k % 10 = 9 THEN 'noanswer' ELSE 'ok' END", "CASE WHEN k % 10 = 9 THEN '' ELSE 'NS2.Example.net.|ns1.example.net.' END", _ALL),
+    ("domain", "TXT", "CASE WHEN k % 43 = 1 THEN 'noanswer' ELSE 'ok' END", "CASE WHEN k % 43 = 1 THEN '' ELSE concat('site-check=1', CASE WHEN spf_raw IS NULL THEN '' ELSE concat('|', spf_raw, '|v=spf1 -all') END) END", _ALL),
+    ("domain", "SPF", "CASE WHEN k % 19 = 0 THEN 'ok' ELSE 'noanswer' END", "CASE WHEN k % 19 = 0 THEN 'v=spf1 -all' ELSE '' END", "k % 41 <> 0"),
+    ("concat('_dmarc.', domain)", "TXT", "CASE WHEN k % 37 = 0 THEN 'error' WHEN dmarc_raw IS NULL THEN 'noanswer' ELSE 'ok' END", "CASE WHEN k % 37 = 0 OR dmarc_raw IS NULL THEN '' ELSE concat('other|', dmarc_raw) END", _ALL),
+    (_HOST, "A", "a_status", "CASE WHEN a_status = 'ok' AND k % 12 <> 0 THEN '192.0.2.1' ELSE '' END", _OWN),
+    (_HOST, "AAAA", "aaaa_status", "CASE WHEN aaaa_status = 'ok' AND k % 18 <> 0 THEN '2001:db8::1' ELSE '' END", _OWN),
+    (f"concat('_25._tcp.', {_HOST})", "TLSA", "CASE WHEN k % 61 = 0 THEN 'error' WHEN k % 14 IN (0, 5) THEN 'ok' ELSE 'noanswer' END", "CASE WHEN k % 61 <> 0 AND k % 14 = 5 THEN '3 1 1 AB' ELSE '' END", _OWN),
+    ("concat('default._bimi.', domain)", "TXT", "'ok'", "CASE WHEN k % 22 = 0 THEN 'x|V=BIMI1; l=https://b.example/l.svg' ELSE 'v=spf1 -all' END", _ALL),
+    ("concat('_mta-sts.', domain)", "TXT", "CASE WHEN k % 47 = 0 THEN 'error' ELSE 'ok' END", "CASE WHEN k % 47 = 0 THEN '' WHEN k % 9 = 0 THEN 'v = STSv1; id=1' ELSE '' END", _ALL),
+    ("concat('_smtp._tls.', domain)", "TXT", "CASE WHEN k % 12 = 0 THEN 'ok' ELSE 'nxdomain' END", "CASE WHEN k % 12 = 0 THEN 'v=TLSRPTv1; rua=mailto:t@example.ch' ELSE '' END", _ALL),
+    ("domain", "CAA", "CASE WHEN k % 6 = 1 THEN 'ok' ELSE 'noanswer' END", "CASE WHEN k % 6 = 1 THEN '0 issue \"ca.example\"|0 iodef \"mailto:s@example.ch\"' ELSE '' END", _ALL),
+] + [
+    (f"concat('{name}._domainkey.', domain)", "TXT", f"CASE WHEN (k + {i}) % 211 = 0 THEN 'error' WHEN (k + {i}) % 4 = 0 THEN 'ok' ELSE 'noanswer' END",
+     f"CASE WHEN (k + {i}) % 211 <> 0 AND (k + {i}) % 4 = 0 THEN coalesce(concat('v=DKIM1; p=|', dkim_raw), 'unrelated') ELSE '' END", _ALL)
+    for i, name in enumerate(("default", "selector1", "selector2", "google", "k1", "s1", "s2", "mail", "dkim", "smtp", "key1", "mx"))
+]
+# Answers of names that many domains share.
+_SHARED = """SELECT * FROM (VALUES ('aspmx.l.google.com', 'A', 'ok', '192.0.2.2'), ('alt1.aspmx.l.google.com', 'A', 'ok', ''), ('alt1.aspmx.l.google.com', 'AAAA', 'ok', '2001:db8::2'), ('mx1.hostpoint.ch', 'A', 'ok', '192.0.2.3'),
   ('backup.example.net', 'A', 'nxdomain', ''), ('mail.halcyon.ch', 'A', 'noanswer', ''), ('mail.halcyon.ch', 'AAAA', 'noanswer', ''), ('mta-gw.infomaniak.ch', 'A', 'ok', '192.0.2.4'), ('aux.cyon.ch', 'A', 'noanswer', ''), ('aux.cyon.ch', 'AAAA', 'nxdomain', ''),
   ('_25._tcp.aspmx.l.google.com', 'TLSA', 'noanswer', ''), ('_25._tcp.alt1.aspmx.l.google.com', 'TLSA', 'noanswer', ''), ('_25._tcp.mx1.hostpoint.ch', 'TLSA', 'ok', '3 1 1 CD'), ('_25._tcp.backup.example.net', 'TLSA', 'nxdomain', ''),
-  ('_25._tcp.mail.halcyon.ch', 'TLSA', 'noanswer', ''), ('_25._tcp.mta-gw.infomaniak.ch', 'TLSA', 'ok', ''), ('_25._tcp.aux.cyon.ch', 'TLSA', 'noanswer', '')) AS fixed(name, rdtype, status, answers)
-UNION ALL SELECT concat(s, '._domainkey.', domain), 'TXT', CASE WHEN (k + i) % 211 = 0 THEN 'error' WHEN (k + i) % 4 = 0 THEN 'ok' ELSE 'noanswer' END, CASE WHEN (k + i) % 211 <> 0 AND (k + i) % 4 = 0 THEN coalesce(concat('v=DKIM1; p=|', dkim_raw), 'unrelated') ELSE '' END
-  FROM raw CROSS JOIN (VALUES ('default', 0), ('selector1', 1), ('selector2', 2), ('google', 3), ('k1', 4), ('s1', 5), ('s2', 6), ('mail', 7), ('dkim', 8), ('smtp', 9), ('key1', 10), ('mx', 11)) AS sel(s, i)
-UNION ALL SELECT concat('default._bimi.', domain), 'TXT', 'ok', CASE WHEN k % 22 = 0 THEN 'x|V=BIMI1; l=https://b.example/l.svg' ELSE 'v=spf1 -all' END FROM raw
-UNION ALL SELECT concat('_mta-sts.', domain), 'TXT', CASE WHEN k % 47 = 0 THEN 'error' ELSE 'ok' END, CASE WHEN k % 47 = 0 THEN '' WHEN k % 9 = 0 THEN 'v = STSv1; id=1' ELSE '' END FROM raw
-UNION ALL SELECT concat('_smtp._tls.', domain), 'TXT', CASE WHEN k % 12 = 0 THEN 'ok' ELSE 'nxdomain' END, CASE WHEN k % 12 = 0 THEN 'v=TLSRPTv1; rua=mailto:t@example.ch' ELSE '' END FROM raw
-UNION ALL SELECT domain, 'CAA', CASE WHEN k % 6 = 1 THEN 'ok' ELSE 'noanswer' END, CASE WHEN k % 6 = 1 THEN '0 issue "ca.example"|0 iodef "mailto:s@example.ch"' ELSE '' END FROM raw
-"""
-OWN_SQL = "SELECT *, CASE k % 8 WHEN 0 THEN concat('d', CAST(k AS STRING), '-ch.mail.protection.outlook.com') ELSE concat('mx.d', CAST(k AS STRING), '.ch') END AS host FROM raw WHERE k % 8 IN (0, 5)"
-#: The statement head that names raw, own and answers for a query on them.
-SCAN_HEAD = f"WITH raw AS ({RAW_SQL}), own AS ({OWN_SQL}), answers AS ({ANSWERS_SQL})"
+  ('_25._tcp.mail.halcyon.ch', 'TLSA', 'noanswer', ''), ('_25._tcp.mta-gw.infomaniak.ch', 'TLSA', 'ok', ''), ('_25._tcp.aux.cyon.ch', 'TLSA', 'noanswer', '')) AS fixed(name, rdtype, status, answers)"""
+ANSWERS_SQL = " UNION ALL ".join([*(f"SELECT {n} AS name, '{t}' AS rdtype, {s} AS status, {a} AS answers FROM raw WHERE {w}" for n, t, s, a, w in _ANSWERS), _SHARED])
+#: The statement head that names raw and answers for a query on them.
+SCAN_HEAD = f"WITH raw AS ({RAW_SQL}), answers AS ({ANSWERS_SQL})"
 
 
 def _of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -66,9 +71,10 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, rdtype, status and the list of answers."""
-    rows = _of(spark, sf_dir, f"{SCAN_HEAD} SELECT * FROM answers")
-    return rows.withColumn("answers", F.when(F.col("answers") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("answers", r"\|")))
+    """name, rdtype, status and the list of answers; one scan of the table gives the answers of each row."""
+    rows = ", ".join(f"named_struct('name', CASE WHEN {w} THEN {n} END, 'rdtype', '{t}', 'status', {s}, 'answers', {a})" for n, t, s, a, w in _ANSWERS)
+    own = raw(spark, sf_dir).select(F.expr(f"inline(array({rows}))")).filter("name IS NOT NULL")
+    return own.unionByName(spark.sql(_SHARED)).withColumn("answers", F.when(F.col("answers") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("answers", r"\|")))
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
