@@ -27,6 +27,8 @@ from .common import table, written
 #: Vectors of one block, and queries that are broadcast at once.
 BLOCK = 1 << 15
 CHUNK = 1 << 13
+#: Candidates for each neighbour asked for.
+WANTED = 150
 
 
 class SortedProjections:
@@ -39,29 +41,44 @@ class SortedProjections:
         self.threshold = int(np.ceil(share * directions))
         projected = vectors @ self.lines.T
         order = np.argsort(projected, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
+        self.order = np.ascontiguousarray(order.T.astype(np.uint16 if len(ids) <= 1 << 16 else np.int32))
+        sorted_values = np.take_along_axis(projected, order, 0).T
+        # All arrays behind each other, shifted apart, so that one search finds the windows of all directions.
+        span = float(np.abs(sorted_values).max(initial=0.0))
+        self.shift = np.arange(directions) * (4 * span + 1)
+        self.span = span
+        self.flat = (sorted_values + self.shift[:, None]).ravel()
         self.width = 0.05 * float(np.std(projected)) or 1e-9
-
-    def search(self, query_id: int, query: np.ndarray, k: int, share: float, factor: float = 1.4):
-        """(score, vec_id) of the k nearest found, verified; share: candidates wanted, as part of the block."""
-        at = self.lines @ query
-        wanted = min(len(self.ids), int(np.ceil(share * len(self.ids))) + 4 * k + 1)
-        radius = self.width
-        counts = np.zeros(len(self.ids), np.int32)
-        low = np.array([np.searchsorted(v, a) for v, a in zip(self.values, at, strict=True)])
-        high = low.copy()
+        #: Radius at which a search starts; it follows the radii that earlier queries needed.
+        self.start = self.width
+
+    def search(self, query_id: int, query: np.ndarray, k: int, wanted: int, factor: float = 1.3):
+        """(score, vec_id) of the k nearest found, verified; wanted: candidates beyond the threshold at which windows stop growing."""
+        n = len(self.ids)
+        # A window beyond the values of its own array must not reach into the next one.
+        at = np.clip(self.lines @ query, -1.5 * self.span, 1.5 * self.span)
+        far = self.lines @ query
+        wanted = min(n, wanted)
+        radius, rounds = self.start, 0
+        counts = np.zeros(n, np.int64)
+        edges = np.arange(len(at)) * n
+        low = high = np.searchsorted(self.flat, at + self.shift) - edges
         while True:
-            for j in range(len(at)):
-                a, b = np.searchsorted(self.values[j], at[j] - radius, "left"), np.searchsorted(self.values[j], at[j] + radius, "right")
-                # Only what the larger window adds is counted; each array holds a vector once.
-                counts[self.order[j, a : low[j]]] += 1
-                counts[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
+            rounds += 1
+            a = np.searchsorted(self.flat, np.maximum(far - radius, -1.75 * self.span) + self.shift, "left") - edges
+            b = np.searchsorted(self.flat, np.minimum(far + radius, 1.75 * self.span) + self.shift, "right") - edges
+            a, b = np.minimum(np.clip(a, 0, n), low), np.maximum(np.clip(b, 0, n), high)
+            # Only what the larger windows add is counted; each array holds a vector once.
+            added = [part for order, p, q, r, s in zip(self.order, a, low, high, b, strict=True) for part in (order[p:q], order[r:s]) if len(part)]
+            if added:
+                counts += np.bincount(np.concatenate(added), minlength=n)
+            low, high = a, b
             found = np.flatnonzero(counts >= self.threshold)
-            if len(found) >= wanted or int(counts.min()) == len(at):
+            if len(found) >= wanted or int((high - low).min()) == n:
                 break
             radius *= factor
+        # A little less than was needed, so that later queries neither start too wide nor widen for long.
+        self.start = max(self.width, radius / factor**2)
         found = found[self.ids[found] != query_id]
         score = np.sqrt(((self.vectors[found] - query) ** 2).sum(1))
         best = np.lexsort((self.ids[found], score))[:k]
@@ -75,7 +92,7 @@ def usable(rows: DataFrame) -> DataFrame:
     return clean.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
 
 
-def _searcher(shared, k: int, share: float):
+def _searcher(shared, k: int, wanted: int):
     def run(batches):
         queries = shared.value
         held: dict[int, list] = {}
@@ -85,7 +102,7 @@ def _searcher(shared, k: int, share: float):
             ids = np.concatenate([h[0] for h in held[d]])
             index = SortedProjections(ids, np.concatenate([h[1] for h in held[d]]))
             own = queries[d]
-            rows = [(q, s, i) for q, v in zip(*own, strict=True) for s, i in zip(*index.search(q, v, k, share), strict=True)]
+            rows = [(q, s, i) for q, v in zip(*own, strict=True) for s, i in zip(*index.search(q, v, k, wanted), strict=True)]
             held[d], size[d] = [], 0
             return pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([float(r[1]) for r in rows], pa.float64()), pa.array([int(r[2]) for r in rows], pa.int64())], names=["query_id", "score", "vec_id"])
 
@@ -107,8 +124,12 @@ def _searcher(shared, k: int, share: float):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.1) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of rows for each of queries; both are usable()."""
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, wanted: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of rows for each of queries; both are usable().
+
+    wanted: candidates that each block verifies at least; it goes with k, not with the number of rows.
+    """
+    wanted = wanted or WANTED * k
     spark = rows.sparkSession
     asked = written(queries, "queries")
     chunks = -(-asked.count() // CHUNK)
@@ -120,7 +141,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.1
             ids, vectors = by.setdefault(len(v), ([], []))
             ids.append(q)
             vectors.append(np.array(v))
-        local = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(by), k, share), "query_id long, score double, vec_id long")
+        local = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(by), k, wanted), "query_id long, score double, vec_id long")
         found = local if found is None else found.unionByName(local)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
