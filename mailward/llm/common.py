@@ -82,6 +82,13 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches cut into few rows each, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def without_spaces(text: Column) -> Column:
     """The text without any of the six ASCII white-space characters; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, pieces, table
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = m.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < m.threshold for n, s in zip(names, scores, strict=True)], pa.bool_())],

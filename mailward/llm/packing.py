@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, table, written
+from .common import fresh, pieces, table, written
 from .wordbpe import codec
 
 EXACT = 2048
@@ -113,8 +113,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
-            counts = [len(own.encode(t)) for t in batch.column(1).to_pylist()]
+        for batch in pieces(batches):
+            counts = [own.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import pieces, table
 
 #: Setting that holds the key of the permutations.
 KEY_SETTING = "spark.mailward.pii.key"
@@ -340,7 +340,7 @@ def pseudonymise_texts(docs: DataFrame, key: bytes | None = None, back: bool = F
 
     def run(batches):
         feistel = Feistel(key)
-        for batch in batches:
+        for batch in pieces(batches):
             texts, found = [], []
             for t in batch.column(at).to_pylist():
                 new, where = pseudonymise(t, feistel, back)

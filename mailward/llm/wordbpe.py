@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 #: Chunks and pre-tokens that a worker remembers; later ones are encoded each time they come.
 REMEMBERED = 300_000
@@ -112,6 +112,7 @@ class WordCodec:
         self.remembered = remembered
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, int] = {}
+        self.lengths: dict[str, int] = {}
         self.ids: list[str] = []
         self.texts: list[str] = []
 
@@ -147,6 +148,20 @@ class WordCodec:
     def encode(self, text: str | None) -> list[int]:
         return [i for c in split_chunks(text or "") for i in self.chunk_ids(c)]
 
+    def count(self, text: str | None) -> int:
+        """How many ids the whole text has; of chunks it remembers only that number, and a tenth as many words."""
+        lengths, n = self.lengths, 0
+        for c in split_chunks(text or ""):
+            size = lengths.get(c)
+            if size is None:
+                if len(self.words) > self.remembered // 10:
+                    self.words.clear()
+                size = len(self.chunk_ids(c))
+                if len(lengths) < self.remembered // 2:
+                    lengths[c] = size
+            n += size
+        return n
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings, joined as the library does for a file that names no decoder."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
@@ -185,7 +200,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, ids, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 a, b = own.rendered(text)

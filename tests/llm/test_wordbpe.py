@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mailward.llm.wordbpe import codec, decode_ids, encode_texts, token_digests, vocabulary_path
+from mailward.llm.wordbpe import WordCodec, codec, decode_ids, encode_texts, token_digests, vocabulary_path
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,10 @@ def test_rows(spark, library):
 
 def test_empty_table(spark):
     assert token_digests(spark.createDataFrame([], "doc_id long, text string"), vocabulary_path()).count() == 0
+
+
+def test_counts_are_those_of_the_ids():
+    own = WordCodec(vocabulary_path(), remembered=20)
+    for text in (None, "", "a b  a", "Über <|endoftext|> x " * 30, " ".join(f"w{i} {i}x" for i in range(200)), "q" * 5000):
+        assert own.count(text) == own.count(text) == len(own.encode(text))
+    assert len(own.lengths) <= 10
