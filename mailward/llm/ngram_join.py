@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discarded, few, fresh, maybe_broadcast, small_batches, table, written
+from .common import discarded, few, fresh, maybe_broadcast, released, small_batches, table, written
 from .components import components, merged
 from .shingles import mix, shingle_sets
 
@@ -94,6 +94,7 @@ def _summaries(width: int):
             )
         if waits:
             counts += np.bincount(np.concatenate(waiting), minlength=1 << BUCKET_BITS).astype(np.uint32)
+        released()
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
@@ -202,6 +203,7 @@ def _postings(width: int, percent: int, shared):
                         names=["key", "node", "small", "n"],
                     )
                     held, size, first = [], 0, i + 1
+        released()
 
     return run
 
