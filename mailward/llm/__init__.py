@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "langid", "wordbpe", "packing", "token_records", "ngram_join", "pii", "licenses", "chat", "neighbours", "whitening", "periodic_runs")
+MODULES = ("exact_dedup", "langid", "wordbpe", "packing", "token_records", "ngram_join", "pii", "licenses", "chat", "neighbours", "whitening", "toxicity", "periodic_runs")
 
 
 def queries() -> dict:
