@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scan
-from ..sources.projection import answers, plan, wide
+from ..sources import lookup
+from ..sources.projection import answers, fresh, plan, wide
 from .registry import query
-from .twins import SCAN
+from .twins import SCAN, SCAN_HEAD
 
 
 def _gates(spark, d):
@@ -87,4 +88,24 @@ _FLAT = ["domain", "domain_exists", "has_mx", "mx_provider", "has_spf", "spf_all
 
 @query("scan_results", f"{SCAN} SELECT {', '.join(_FLAT)} FROM w")
 def scan_results(spark, d):
-    return wide(spark, d).select(*_FLAT)
+    return fresh(spark, d).select(*_FLAT)
+
+
+# A resolver's answers made from a checksum of the question: a state, or a failure of its own kind.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(rdtype || ' ' || name, '')]), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)"
+
+
+@query("live_lookup", f"""{SCAN}, once AS (SELECT DISTINCT name, rdtype FROM asked), summed AS (SELECT *, {_CRC} AS h FROM once)
+  SELECT name, rdtype, CASE h % 8 WHEN 0 THEN 'nxdomain' WHEN 1 THEN 'noanswer' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN h % 8 > 4 THEN CASE WHEN rdtype = 'TXT' THEN 'v=' || h || chr(65533) ELSE h || ' ' || rdtype END ELSE '' END AS answers FROM summed""")
+def live_lookup(spark, d):
+    asked = scan.planned(_gates(spark, d)).select("name", "rdtype")
+    found = lookup.answered(asked, lookup.ChecksumResolver, lookup.Settings(tasks=4, in_flight=32))
+    return found.select("name", "rdtype", "status", F.array_join("answers", "|").alias("answers"))
+
+
+@query("live_scan_errors", f"""{SCAN_HEAD.split(", answers AS")[0]}, q AS (SELECT 'd' || k || '.ch' AS name, 'MX' AS rdtype FROM raw), s AS (SELECT *, {_CRC} AS h FROM q)
+  SELECT name AS domain, h % 8 <> 0 AS domain_exists, h % 8 > 4 AND h <= 2147483647 AS has_mx, CASE WHEN h % 8 IN (2, 3, 4) THEN 'mx_query_error' END AS error FROM s""")
+def live_scan_errors(spark, d):
+    found = scan.scanned_live(plan(spark, d), lambda asked: lookup.answered(asked, lookup.ChecksumResolver, lookup.Settings(tasks=4, in_flight=32)))
+    return found.select("domain", "domain_exists", "has_mx", F.when(F.col("error") == "mx_query_error", F.col("error")).alias("error"))

@@ -17,3 +17,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='mailward-')}"
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/mailward/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a URI, for any storage that the session reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a batch writer has finished this folder."""
+    store, target = hadoop_path(spark, f"{path}/_SUCCESS")
+    return store.exists(target)

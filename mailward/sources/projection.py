@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import scanned
+from .folders import committed, shared_path
 
 RAW_SQL = """
 SELECT c_custkey AS k, concat('d', CAST(c_custkey AS STRING), '.ch') AS domain,
@@ -77,6 +78,24 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(spark.sql(_SHARED)).withColumn("answers", F.when(F.col("answers") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("answers", r"\|")))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan's results: the input of metrics, validation and the report."""
+def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a scan, computed from the answers."""
     return scanned(plan(spark, sf_dir), answers(spark, sf_dir))
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's stored results, the input of metrics, validation and the report.
+
+    A session scans the tables of a folder once and writes the results into the shared folder; later calls read
+    these files, as long as they are there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _stored and committed(spark, _stored[key]):
+        return spark.read.parquet(_stored[key])
+    path = shared_path(spark, "results")
+    fresh(spark, sf_dir).write.parquet(path)
+    _stored[key] = path
+    return spark.read.parquet(path)
