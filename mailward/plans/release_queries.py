@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-from ..operators import quality, store
+from ..operators import chains, quality, store
 from ..schema import COLUMNS, FLAGS, LEGACY, NESTED
 from ..sources.files import domain_list
 from ..sources.folders import shared_path
@@ -128,6 +128,50 @@ def release_eligible(spark, d):
     return store.eligible(_runs(spark, d))
 
 
+# The same chains with links that fork, lead back into a cycle, or name nothing, and with facts of a sequence.
+_BENT = "CASE WHEN chain % 29 = 0 AND nth = 1 THEN last_value(manifest_sha) OVER (PARTITION BY chain ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) WHEN run_id % 71 = 0 AND nth > 2 THEN first_value(manifest_sha) OVER (PARTITION BY chain ORDER BY nth) ELSE previous_sha END"
+
+
+def _bent_sql(sha: str) -> str:
+    return f"""SELECT run_id, chain, nth, manifest_sha, {_BENT} AS previous_sha, nth + CASE WHEN run_id % 101 = 0 THEN 1 ELSE 0 END AS sequence, started, finished - CASE WHEN run_id % 83 = 0 THEN 20 ELSE 0 END + CASE WHEN run_id % 89 = 0 THEN 25 ELSE 0 END AS finished,
+  CASE WHEN run_id % 73 = 0 THEN 'odd' WHEN nth = 1 THEN 'old' ELSE 'new' END AS core, CASE WHEN run_id % 79 = 0 THEN 'other' ELSE 'source' END AS source_sha, source_count, pre_total, pre_error, post_total, post_error FROM ({_linked_sql(sha)}) AS linked"""
+
+
+def _bent(spark, d):
+    return spark.sql(_bent_sql(f"sha2({_SHA}, 256)").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+
+
+_BENT_HEAD = f"WITH RECURSIVE runs AS ({_bent_sql(f'sha256({_SHA})')})"
+
+
+@query("run_chain_walk", f"""{_BENT_HEAD}, link AS (SELECT r.run_id, r.previous_sha, p.run_id AS parent FROM runs AS r LEFT JOIN runs AS p ON p.manifest_sha = r.previous_sha),
+  walk AS (SELECT run_id, run_id AS place, parent, previous_sha, [run_id] AS path FROM link UNION ALL SELECT w.run_id, l.run_id, l.parent, l.previous_sha, list_append(w.path, l.run_id) FROM walk AS w JOIN link AS l ON l.run_id = w.parent WHERE NOT list_contains(w.path, l.run_id)),
+  last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY len(path) DESC) = 1)
+  SELECT run_id, CASE WHEN parent IS NOT NULL THEN 'cycle' WHEN previous_sha IS NOT NULL THEN 'lost' ELSE 'root' END AS kind, CASE WHEN parent IS NULL THEN place ELSE list_min(path[list_position(path, parent):]) END AS root,
+  CASE WHEN parent IS NULL THEN len(path) - 1 END AS depth, coalesce(parent = run_id OR (parent IS NOT NULL AND list_position(path, parent) = 1), false) AS in_cycle, (SELECT count(*) FROM link AS c WHERE c.parent = last.run_id) AS children FROM last""")
+def run_chain_walk(spark, d):
+    return chains.chain_walk(_bent(spark, d))
+
+
+_EARLIER = "(PARTITION BY chain ORDER BY started, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_SEQUENCED = f"""placed AS (SELECT *, lag(core) OVER w AS p_core, row_number() OVER w AS place FROM runs WINDOW w AS (PARTITION BY chain ORDER BY started, run_id)), turned AS (SELECT *, place > 1 AND core <> p_core AS turned FROM placed),
+  seen AS (SELECT *, lag(sequence) OVER w AS p_sequence, lag(finished) OVER w AS p_finished, lag(source_sha) OVER w AS p_source, lag(post_total) OVER w AS p_total, lag(post_error) OVER w AS p_error, max(finished) OVER {_EARLIER} AS latest, count(*) FILTER (WHERE turned) OVER {_EARLIER} AS turns FROM turned WINDOW w AS (PARTITION BY chain ORDER BY started, run_id))"""
+_SEQUENCE_BROKEN = [
+    ("sequence_contiguous", "sequence - 1 <> coalesce(p_sequence, 0)"), ("interval_not_empty", "started >= finished"), ("after_previous", "place > 1 AND started < p_finished"), ("after_all_earlier", "place > 1 AND latest > started"),
+    ("core_changes_once", "turned AND (place <> 2 OR turns > 0)"), ("source_unchanged", "place > 1 AND source_sha <> p_source"), ("accounting_links", "place > 1 AND (pre_total <> p_total OR pre_error <> p_error)"), ("errors_never_rise", "place > 1 AND post_error > pre_error"), ("order_agrees", "place > 1 AND sequence <= p_sequence"),
+]
+
+
+@query("run_overlaps", f"{_BENT_HEAD}, {_SEQUENCED} SELECT run_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _SEQUENCE_BROKEN) + "] IF x IS NOT NULL], ',') AS broken FROM seen")
+def run_overlaps(spark, d):
+    return chains.sequence_violations(_bent(spark, d))
+
+
+@query("run_intervals", f"{_BENT_HEAD}, e AS (SELECT *, max(finished) OVER {_EARLIER} AS latest FROM runs) SELECT chain, count(*) AS runs, min(started) AS started, max(finished) AS finished, coalesce(max(greatest(started - latest, 0)), 0) AS longest_gap FROM e GROUP BY chain")
+def run_intervals(spark, d):
+    return chains.intervals(_bent(spark, d))
+
+
 def _documents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
