@@ -1,4 +1,4 @@
 """Registered queries and their SQL twins."""
 
-from . import metric_queries, queries, release_queries, scan_queries  # noqa: F401
+from . import manifest_queries, metric_queries, queries, release_queries, scan_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
