@@ -11,6 +11,9 @@ The template writes a turn as ``<|turn|>role<|text|>text<|end|>``. A backslash g
 string inside roles and texts, behind its first character, and every backslash is doubled; so no control
 string of a text survives as one, and removing each escaping backslash gives the text back.
 
+No text is too long: the JSON reader's own limit on strings is lifted, and where a record is too large for a
+VARIANT its fingerprint is that of its paths alone, which is all that a layout asks for.
+
 Defined results. Null roles and texts count as empty. Turns are in order of turn, then role, then text,
 null turns first; repeated rows are turns of their own. A record that fits no layout, or is no JSON, has
 no turns and a null layout; ``without_layout`` counts such records by fingerprint. A conversation is one output row, so its turns meet in one task. An empty table gives only the
@@ -30,6 +33,8 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What would end or open a turn, here or in other common templates.
 _CONTROL = r"([<\[])(?=/?(?:s>|INST\]|SYS>>|<SYS)|\||<)"
 _TURNS = "array<struct<role:string,text:string>>"
+#: The reader's limit on a string lifted: a record is refused for no length that a row can have.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -96,17 +101,19 @@ LAYOUTS = (
 _SCALAR = r"(?<=[<:] ?)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)"
 
 
+def _fields(record: Column, schema: str) -> Column:
+    return F.from_json(record, schema, _ANY_LENGTH)
+
+
 def field_paths(record: Column) -> Column:
-    """Sorted distinct paths of a JSON text's fields, two levels deep; array elements share their array's path."""
-    top = F.json_object_keys(record)
-    parsed = F.from_json(record, "map<string,string>")
+    """Sorted distinct paths of a JSON text's fields, two levels deep, as deep as layouts look; array elements share their array's path."""
+    parsed = F.filter(F.map_entries(_fields(record, "map<string,string>")), lambda e: e["key"].isNotNull())
 
-    def inner(k):
-        v = F.element_at(parsed, k)
-        items = F.coalesce(F.from_json(v, "array<string>"), F.array(v))
-        return F.flatten(F.transform(items, lambda i: F.transform(F.coalesce(F.json_object_keys(i), F.array().cast("array<string>")), lambda x: F.concat(k, F.lit("."), x))))
+    def inner(e):
+        items = F.coalesce(_fields(e["value"], "array<string>"), F.array(e["value"]))
+        return F.flatten(F.transform(items, lambda i: F.transform(F.coalesce(F.map_keys(_fields(i, "map<string,string>")), F.array().cast("array<string>")), lambda x: F.concat(e["key"], F.lit("."), x))))
 
-    return F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(top, inner)))))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(parsed, lambda e: e["key"]), F.flatten(F.transform(parsed, inner)))))
 
 
 def fingerprint(record: Column, paths: Column) -> Column:
@@ -148,7 +155,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     seen = seen.drop("__paths").join(maybe_broadcast(known, known.count(), 64), "fingerprint", "left")
     turns = F.array().cast(_TURNS)
     for x in reversed(LAYOUTS):
-        turns = F.when(F.col("layout") == x.name, F.coalesce(x.turns(F.from_json("record", x.schema)), F.array().cast(_TURNS))).otherwise(turns)
+        turns = F.when(F.col("layout") == x.name, F.coalesce(x.turns(_fields(F.col("record"), x.schema)), F.array().cast(_TURNS))).otherwise(turns)
     return seen.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in own], "fingerprint", "layout", turns.alias("turns"))
 
 

@@ -58,3 +58,14 @@ def test_fingerprints_of_any_depth(spark):
     f = {r.i: r.fingerprint for r in canonical_turns(frame).collect()}
     assert f[0] == f[2] != f[1] and f[3] is None and f[4] is not None
     assert sorted(r.records for r in without_layout(frame).collect()) == [1, 1, 1, 2]
+
+
+def test_very_long_texts(spark):
+    """Beyond the limits of the JSON reader (20 million characters a string) and of VARIANT (some 16 million bytes)."""
+    sizes = {1: 21_000_000, 2: 60_000_000, 3: 9}
+    rows = spark.createDataFrame([(c, t, r, 5 if t == 0 else n) for c, n in sizes.items() for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, n int")
+    texts = rows.select("conv_id", "turn", "role", F.expr("repeat('\"x y', n div 4)").alias("text"))
+    found = format_chats(conversation_records(texts))
+    got = {r.conv_id: r for r in found.select("conv_id", "layout", F.length("formatted").alias("n"), F.size(parsed(F.col("formatted"))).alias("turns"), F.element_at("loss_spans", -1)["length"].alias("loss")).collect()}
+    frames = 2 * len("<|turn|><|text|><|end|>") + len("user") + len("assistant")
+    assert {c: (r.layout, r.n, r.turns, r.loss) for c, r in got.items()} == {c: ("messages", frames + 4 + n // 4 * 4, 2, n // 4 * 4) for c, n in sizes.items()}
