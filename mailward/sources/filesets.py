@@ -110,6 +110,29 @@ def hashed(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return files.repartition(n, "path").mapInArrow(run, schema)
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write each row of rows(name, content binary) as a file below a folder; returns name and bytes of those written.
+
+    A file is written by the task that has its row, so a repeated task writes the same bytes again. Null content is empty.
+    """
+    root = re.sub("^file:/+", "file:/", folder.rstrip("/"))
+
+    def run(batches):
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
+                store, path = _located(f"{root}/{name}")
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(content or b"")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    path = shared_path(rows.sparkSession, "written")
+    rows.select("name", "content").mapInArrow(run, "name string, bytes long").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def hygiene(files: DataFrame) -> DataFrame:
     """name and rule of each file that a public folder may not hold: links and devices, hidden, scratch, private or unsafe names."""
     name = F.col("name")
