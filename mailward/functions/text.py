@@ -33,3 +33,14 @@ def tag(entries: Column, key: str) -> Column:
 
 def first_match(records: Column, test) -> Column:
     return F.try_element_at(F.filter(records, test), F.lit(1))
+
+
+def parsed_json(text: Column) -> Column:
+    """A text as VARIANT; null for what is not one whole JSON value, or repeats a key.
+
+    The parser stops behind the first value and lets anything follow. What follows inside a list can only close it
+    with a bracket, and inside an object with a brace; a text that is whole in both is whole.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]")))
+    named = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("\n}")))
+    return F.when(named.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import parsed_json
 from ..sources.folders import hadoop_path
 from .store import RUN_RULES
 
@@ -133,7 +134,7 @@ def violations(documents: DataFrame) -> DataFrame:
     whose keys and kinds are right, the names of the broken FACT_RULES. A null text is no JSON.
     """
     v = F.col("v")
-    parsed = documents.select("name", F.try_parse_json("text").alias("v"))
+    parsed = documents.select("name", parsed_json(F.col("text")).alias("v"))
     kept = parsed.withColumn("v", F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
     number = F.try_variant_get(v, "$.manifest_schema_version", "bigint")
     stated = _part(v, "manifest_schema_version")

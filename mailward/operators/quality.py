@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import parsed_json
 from ..schema import COLUMNS, FLAGS, LEGACY, NESTED, TEXTS, layout
 from .metrics import PROVIDER_NAMES, SPF_TERMS
 from .scan import STATUSES
@@ -15,12 +16,12 @@ def _whole(c: str, signed: bool = True) -> Column:
 
 
 def _list_of_text(c: str) -> Column:
-    kind = F.schema_of_variant(F.try_parse_json(c))
-    return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) & ~F.coalesce(F.rlike(c, F.lit(r"(^\[|,)\s*null\s*(,|\]$)")), F.lit(False))
+    """Whether a text is a JSON list of texts alone; texts may hold commas, brackets and the word null."""
+    return F.coalesce(F.schema_of_variant(parsed_json(F.col(c))).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) & F.coalesce(F.forall(parsed_json(F.col(c)).cast("array<string>"), lambda x: x.isNotNull()), F.lit(False))
 
 
 def _object(c: str) -> Column:
-    return F.json_object_keys(c).isNotNull() & F.try_parse_json(c).isNotNull()
+    return F.coalesce(F.startswith(F.schema_of_variant(parsed_json(F.col(c))), F.lit("OBJECT")), F.lit(False))
 
 
 def rules(names: dict[str, str], stored: list[str]) -> dict[str, Column]:
@@ -52,7 +53,7 @@ def rules(names: dict[str, str], stored: list[str]) -> dict[str, Column]:
         failed = F.exists(values, lambda v: v == "error")
         crashed = F.startswith("error", F.lit("scan_exception: ")) & (F.col("query_statuses") == "{}")
         found |= {
-            "statuses": ~F.coalesce(_object("query_statuses"), F.lit(False)),
+            "statuses": ~_object("query_statuses"),
             "status_values": ~F.forall(values, lambda v: F.coalesce(v.isin(*STATUSES), F.lit(False))),
             "error_status": F.coalesce(((F.col("error") == "") & failed) | ((F.col("error") != "") & ~failed & ~crashed), F.lit(False)),
         }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-from ..operators import chains, quality, store
+from ..operators import chains, leaves, quality, store
 from ..schema import COLUMNS, FLAGS, LEGACY, NESTED
 from ..sources.files import domain_list
 from ..sources.folders import shared_path
@@ -178,12 +178,12 @@ def _documents(spark, d):
 
 @query("privacy_scan_sha", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Fa-f])([0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})($|[^0-9A-Fa-f])')")
 def privacy_scan_sha(spark, d):
-    return _documents(spark, d).filter(F.rlike("text", F.lit(privacy.NATIVE["digest"]))).select("doc_id")
+    return _documents(spark, d).filter(F.size(privacy.digests(F.col("text"))) > 0).select("doc_id")
 
 
 @query("privacy_scan_ip", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Fa-f:.])([0-9]{1,3}\.){3}[0-9]{1,3}($|[^0-9A-Fa-f:.])')")
 def privacy_scan_ip(spark, d):
-    return _documents(spark, d).filter(F.rlike("text", F.lit(privacy.IP.split("|(?<!")[0]))).select("doc_id")
+    return _documents(spark, d).filter(F.size(privacy.ipv4_runs(F.col("text"))) > 0).select("doc_id")
 
 
 _PAYLOADS = "SELECT c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN 'see v = DMARC1 here' WHEN 1 THEN 'RUF = mailto:x' WHEN 2 THEN 'file://x y' WHEN 3 THEN 'at /etc/passwd' WHEN 4 THEN 'C:/temp/x' WHEN 5 THEN 'the mx_hosts list' WHEN 6 THEN 'no v=spf12' WHEN 7 THEN 'host 0x7f.0x0.0x0.0x1' ELSE 'plain text' END AS text FROM customer"
@@ -191,7 +191,7 @@ _PAYLOADS = "SELECT c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN 'see v = DMAR
 
 @query("privacy_scan_dns", f"SELECT k FROM ({_PAYLOADS}) WHERE k % 9 IN (0, 1)")
 def privacy_scan_dns(spark, d):
-    return _of(spark, d, _PAYLOADS).filter(F.rlike("text", F.lit(privacy.NATIVE["dns_payload"]))).select("k")
+    return _of(spark, d, _PAYLOADS).filter(F.rlike("text", F.lit(privacy.PATTERNS["dns_payload"]))).select("k")
 
 
 @query("privacy_codes", f"SELECT k, CASE k % 9 WHEN 0 THEN 'dns_payload' WHEN 1 THEN 'dns_payload' WHEN 2 THEN 'file_uri' WHEN 3 THEN 'posix_path' WHEN 4 THEN 'windows_path' WHEN 5 THEN 'private_field' WHEN 7 THEN 'encoded_ip' ELSE '' END AS codes FROM ({_PAYLOADS})")
@@ -206,8 +206,44 @@ def extract_domains(spark, d):
     return pages.select("page_id", F.explode(privacy.names(host)).alias("domain"))
 
 
+# A text for each code, some under a disguise, made different in each row; the code or codes that it breaks.
+_DISGUISED = [
+    ("concat('the MX_Hosts of ', k)", "private_field"), ("concat('V%253Dspf1 ', k)", "dns_payload"), ("concat('version : STSv1 ', k)", "dns_payload"), ("concat('file:', chr(92), chr(92), k, ' here')", "file_uri"), ("concat('D:', chr(92), 'tmp', k)", "windows_path"), ("concat('see %2Fsrv/', k)", "posix_path"),
+    ("concat('(', repeat('aB', 20), ')', k, '-')", "digest"), ("concat(repeat('f', 64), 'x', k)", "digest"), ("concat('0x7f0000', CASE WHEN k % 2 = 0 THEN '01' ELSE 'fe' END)", "encoded_ip"), ("'by 0x7f.0x0.0x0.0xA'", "encoded_ip"), ("'at 017700000001 now'", "encoded_ip"), ("concat('mail&period;host', k, '&#46;example')", "name"), ("concat('bücher', k, '。example')", "name"),
+    ("concat('http://user', chr(64), '0x7f.', k % 256, '/x')", "url_ip"), ("concat('https://010.1.', k % 65536, ':8080')", "url_ip"), ("concat('call ', 2130706433 + k % 1000, ' today')", "decimal_ip"), ("concat('from 10.1.2.', k % 256)", "ip"), ("concat('from 10.1.2.', 256 + k % 700)", "ip"), ("concat('at 2001:db8::', k % 9000)", "ip"), ("'at ::ffff:7'", "ip"),
+    ("concat('1.1.1.1 and 8.8.8.8 serve ', k)", ""), ("concat('plain ', k, ' text: a.b1 12:30:45 1.2 v1..2 x_.y')", ""), ("concat('0x7f00001 ', 4294967296, ' ', 99999999999)", ""), ("concat(repeat('a', 41), k)", ""), ("'mx_hosts at /etc with v=dmarc1 and 1.2.3.4'", "private_field,dns_payload,posix_path,ip"),
+]
+_DISGUISED_SQL = "SELECT k, CASE k % 25 " + " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_DISGUISED)) + " END AS text FROM (SELECT CAST(c_custkey AS INTEGER) AS k FROM customer) AS keyed"
+
+
+@query("privacy_disguised", "SELECT k, CASE k % 25 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_DISGUISED)) + f" END AS codes FROM ({_DISGUISED_SQL})")
+def privacy_disguised(spark, d):
+    rows = _of(spark, d, _DISGUISED_SQL)
+    return rows.select("k", F.array_join(privacy.violation_codes(F.col("text"), ips=["1.1.1.1", "8.8.8.8"]), ",").alias("codes"))
+
+
+def _nested(spark, d):
+    """Nested texts made from events: lists in objects, and some texts that are no JSON."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    lists = F.regexp_replace("props", r":\s*([^,}]+)", ": [$1]")
+    return events.select("event_id", F.concat(F.lit('{"p": '), lists, F.lit(', "q": [true, null, 1.5]}')).alias("text"))
+
+
 @query("json_leaves", "SELECT event_id, 'p.' || k || '.*' AS path, json_extract_string(props, '$.' || k) AS leaf FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_leaves(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet")
-    nested = F.regexp_replace("props", r":\s*([^,}]+)", ": [$1]")
-    return events.select("event_id", F.explode(privacy.json_leaves(F.concat(F.lit('{"p": '), nested, F.lit(', "q": [true, null]}')))).alias("x")).select("event_id", F.get("x", F.lit(0)).alias("path"), F.get("x", F.lit(1)).alias("leaf"))
+    found = leaves.json_leaves(_nested(spark, d), "event_id", "text")
+    return found.select("event_id", F.array_join("path", ".").alias("path"), "leaf")
+
+
+_MIXED = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN concat('{"a": [', props, ', {"deep": {"x": "', event_type, '", "y": [1, "z"]}}], "b": ', CAST(user_id AS STRING), '}') WHEN 2 THEN concat('{"a": {"k": "v"}, "a.k": 2, "user": {"id": ', CAST(user_id AS STRING), ', "mail": "', event_type, '"}}')
+  WHEN 3 THEN substring(props, 2, 100) WHEN 4 THEN concat('[', props, ', [["', event_type, '"]], true]') WHEN 5 THEN '"text"' ELSE NULL END AS text FROM events"""
+_PERMITTED = ["k", "a.*.k", "a.*.deep.*", "a.k", "b", "user.id", "*.k"]
+
+
+@query("json_forbidden_paths", f"""WITH RECURSIVE t AS (SELECT event_id, TRY_CAST(text AS JSON) AS j FROM ({_MIXED})), walk AS (SELECT event_id, CAST([] AS VARCHAR[]) AS path, j FROM t WHERE j IS NOT NULL UNION ALL SELECT event_id, list_append(path, c.key), c.child FROM walk,
+  LATERAL (SELECT CASE WHEN json_type(j) = 'ARRAY' THEN '*' ELSE e.key END AS key, e.value AS child FROM json_each(j) AS e) AS c WHERE json_type(j) IN ('ARRAY', 'OBJECT')), leaf AS (SELECT event_id, path, json_extract_string(j, '$') AS leaf FROM walk WHERE json_type(j) IN ('VARCHAR', 'UBIGINT', 'BIGINT'))
+  SELECT event_id, array_to_string(path, '/') AS path, leaf FROM leaf WHERE NOT ({" OR ".join("(len(path) = " + str(len(p.split("."))) + "".join(f" AND path[{i + 1}] = '{x}'" for i, x in enumerate(p.split(".")) if x != "*") + ")" for p in _PERMITTED)})""")
+def json_forbidden_paths(spark, d):
+    texts = spark.sql(_MIXED.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+    found = leaves.json_leaves(texts, "event_id", "text")
+    return leaves.forbidden(found, [p.split(".") for p in _PERMITTED]).select("event_id", F.array_join("path", "/").alias("path"), "leaf")

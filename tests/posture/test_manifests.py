@@ -52,7 +52,7 @@ def test_each_change_is_seen(spark, text):
         "version": text.replace('"manifest_schema_version":2,"measurement_core_alg', '"manifest_schema_version":3,"measurement_core_alg'), "kind:manifest_schema_version": text.replace('"manifest_schema_version":2,"measurement_core_alg', '"manifest_schema_version":"2","measurement_core_alg'), "interval,identity": text.replace("00:00:01Z", "00:00:00Z"), "kind:database_post": text.replace('"database_post":{"total_rows":9', '"database_post":{"total_rows":9.5'), "kind:finished_at_utc": text.replace("2026-01-01T00:00:01Z", "2026-13-01T00:00:01Z"),
         "kind:resolver_configuration": text.replace('"rotate":true', '"rotate":null'), "eligible,identity": text.replace('"release_eligible":true', '"release_eligible":false'), "run_order,identity": text.replace('"shuffle_seed":42', '"shuffle_seed":null'), "kind:concurrency": text.replace('"concurrency":9', '"concurrency":0'),
     }
-    doubled = {"twice": text.replace('"shuffle":true', '"shuffle":true,"shuffle":true'), "deep": text.replace('"rotate":true', '"rotate":true,"rotate":true'), "list": "[1]", "word": '"x"', "empty": "", "none": None, "number": text.replace(":9,", ":NaN,", 1)}
+    doubled = {"twice": text.replace('"shuffle":true', '"shuffle":true,"shuffle":true'), "deep": text.replace('"rotate":true', '"rotate":true,"rotate":true'), "list": "[1]", "word": '"x"', "empty": "", "none": None, "number": text.replace(":9,", ":NaN,", 1), "more": text + "{}", "brace": text + "}"}
     got = codes(spark, {**found, **doubled})
     assert {k: got[k] for k in found} == {k: k for k in found} and {got[k] for k in doubled} == {"json"}
 

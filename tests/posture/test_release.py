@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailward import schema
 from mailward.functions import privacy
-from mailward.operators import metrics, quality, store
+from mailward.operators import leaves, metrics, quality, store
 from mailward.sources import files
 
 BASE = {"scanned_at": "2026-01-01 00:00:00", "dmarc_pct": "100", "dmarc_adkim": "r", "dmarc_aspf": "r", "domain_exists": "1", "spf_lookup_count": "0", "query_statuses": "{}", "dmarc_policy": "absent"}
@@ -61,6 +61,14 @@ def test_refuses(spark, change, rule):
         quality.refused(rows)
 
 
+def test_lists_of_text(spark):
+    sound = ['["a, null, b"]', "[]", '["]", "null", "[", "\\"", ","]', ' [ "x" ] ', '["é", ""]']
+    broken = ["[null]", '["a", null]', "[1]", '["a", 1]', '[["a"]]', '[{"a": 1}]', "{}", '"a"', "null", "", None, "[", '["a"] ["b"]', '["a"]]', '["a"],["b"]', '["a",]']
+    rows = spark.createDataFrame([flat(domain=f"d{i}", ns_hosts=t) for i, t in enumerate(sound + broken)], ", ".join(f"{c} string" for c in schema.ALL))
+    got = {r.domain for r in quality.broken_rows(rows).filter("rule = 'lists'").collect()}
+    assert got == {f"d{i + len(sound)}" for i in range(len(broken))}
+
+
 def test_crash_rows_and_layouts(spark):
     assert quality.refused(stored(spark, [flat(domain="x", error="scan_exception: oops")])).count() == 1
     with pytest.raises(ValueError, match="unknown schema"):
@@ -137,12 +145,15 @@ def test_privacy(spark, text, codes):
     assert codes <= set(got) and (codes or not got)
 
 
-def test_names_and_leaves():
-    assert privacy.names_in("Bücher.example and x.y.ch, 1.2") == ["xn--bcher-kva.example", "x.y.ch"]
-    assert privacy.leaves_of({"a": [{"b": 1}, True, None], "c": "x"}) == [("a.*.b", "1"), ("c", "x")]
-    assert privacy.odd_ipv4("0x7f.1") and not privacy.odd_ipv4("127.0.0.1")
+def test_names_and_leaves(spark):
+    got = spark.createDataFrame([("Bücher.example and x.y.ch, 1.2",)], "t string").select(privacy.names(F.col("t")).alias("n")).first().n
+    assert got == ["xn--bcher-kva.example", "x.y.ch"]
+    rows = spark.createDataFrame([(1, '{"a": [{"b": 1}, true, null], "c": "x"}')], "id long, t string")
+    assert sorted((".".join(r.path), r.leaf) for r in leaves.json_leaves(rows, "id", "t").collect()) == [("a.*.b", "1"), ("c", "x")]
+    odd = spark.createDataFrame([("0x7f.1",), ("127.0.0.1",)], "h string").select(privacy.odd_ipv4(F.col("h")).alias("o")).collect()
+    assert [r.o for r in odd] == [True, False]
 
 
 def test_path_patterns(spark):
-    rows = spark.createDataFrame([("a.*.b",), ("a.x.b",), ("a.b",)], "p string")
-    assert [r.ok for r in rows.select(privacy.allowed(F.col("p"), ["a.*.b"]).alias("ok")).collect()] == [True, True, False]
+    rows = spark.createDataFrame([(["a", "*", "b"],), (["a", "x", "b"],), (["a", "b"],)], "path array<string>")
+    assert [r.path for r in leaves.forbidden(rows, [["a", "*", "b"]]).collect()] == [["a", "b"]]
