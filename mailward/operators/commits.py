@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ALL, COLUMNS
 from ..sources.folders import hadoop_path
+from .progress import accounted_write
 from .store import accounting, to_resume, unique_plan
 
 
@@ -101,7 +102,7 @@ class Results:
     def stage(self, prepared: Prepared, rows: DataFrame) -> str:
         """Write a batch's rows aside; returns the attempt's name."""
         name = f"{prepared.batch}-{uuid.uuid4().hex}"
-        rows.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()]).write.parquet(f"{self.folder}/data/{name}")
+        accounted_write(rows.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()]), f"{self.folder}/data/{name}")
         return name
 
     def commit(self, prepared: Prepared, staged: str, plan: DataFrame) -> dict:

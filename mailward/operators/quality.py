@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parsed_json
-from ..schema import COLUMNS, FLAGS, LEGACY, NESTED, TEXTS, layout
+from ..schema import FLAGS, NESTED, TEXTS, layout
+from .lineage import counts_only  # noqa: F401 - one of the checks
 from .metrics import PROVIDER_NAMES, SPF_TERMS
 from .scan import STATUSES
 
@@ -106,13 +107,3 @@ def accepted(metrics: DataFrame) -> list:
     if bad:
         raise ValueError(f"metrics refused: {[r[0] for r in bad]}")
     return metrics.orderBy("metric_id").collect()
-
-
-def counts_only(frame: DataFrame, private: set[str] = frozenset(COLUMNS) | set(LEGACY.values())) -> DataFrame:
-    """frame, if no column of results leaves its plan: what it returns must be aggregates and literals."""
-    leaking = sorted(private & set(frame.columns))
-    if leaking:
-        raise ValueError(f"private columns in the result: {leaking}")
-    if "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString():
-        raise ValueError("the result is no aggregate")
-    return frame

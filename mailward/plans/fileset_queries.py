@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.commits import Results
+from ..operators.progress import accounted_write
 from ..sources import filesets
 from ..sources.folders import shared_path
 from ..sources.projection import plan, wide
@@ -48,3 +49,9 @@ def resume_commits(spark, d):
     for batch in ("first", "first", "second"):
         own.run(batch, universe, lambda left: results.join(left.select("domain"), "domain", "left_semi"))
     return spark.createDataFrame(own.entries(), "batch string, attempted long, total long, analyzable long, errors long").select("batch", "attempted", "total", "analyzable", "errors")
+
+
+@query("write_accounting", f"""{SCAN}, b AS (SELECT w.has_mx, error <> '' OR EXISTS (SELECT 1 FROM seen WHERE seen.domain = w.domain AND seen.status = 'error') AS bad FROM w)
+  SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS analyzable, count(*) FILTER (WHERE bad) AS errors, count(*) FILTER (WHERE has_mx) AS with_mail FROM b""")
+def write_accounting(spark, d):
+    return spark.createDataFrame([accounted_write(wide(spark, d), shared_path(spark, "accounted"))], "total long, analyzable long, errors long, with_mail long")
