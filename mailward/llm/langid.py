@@ -6,12 +6,15 @@ picks a row of an embedding matrix, the rows are averaged, and a linear softmax
 probabilities. Embeddings and softmax are trained together by stochastic gradient descent in numpy.
 As everything up to the softmax is linear, prediction sums one row of class logits for each subword.
 
-A temperature and a rejection threshold are calibrated on labelled rows that were kept out of the
-descent: the threshold lies under the score of every calibration document that was classified rightly.
+A temperature and two limits of rejection are calibrated on labelled rows that were kept out of the descent.
+One lies below the scores of rows classified rightly. The other is of the share of a text's subwords that the
+descent has met: rows kept out show what it is for learned languages, and the same rows measured by the
+subwords of all other labels show what it is for a language that was not learned; the limit lies between the
+two. Of a short text the share is read with its error, so few unknown subwords reject nothing.
 
 Training bound (documented parameters): at most ``per_class`` documents a label, those with the
-smallest hashes of their doc_id, of at most ``max_chars`` code points each, and at most MAX_CLASSES
-labels. Prediction always reads the whole text.
+smallest hashes of their doc_id, of at most ``max_chars`` code points each, and of the ``max_classes``
+commonest labels (all of them by default). Prediction always reads the whole text.
 
 Defined results. ``und`` with score 0 for a null text or one without letters. Without any labelled
 row, every document is ``und``. Extra columns pass through or are ignored.
@@ -31,7 +34,8 @@ from .common import fresh, pieces, table
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-MAX_CLASSES = 256
+#: Parts of rightly classified rows that may lie below a limit, and of foreign ones that may lie above.
+LOST, PASSED = 0.001, 0.01
 UNKNOWN = "und"
 CHUNK = 1 << 18
 
@@ -77,31 +81,50 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    met: np.ndarray | None = None
+    least_known: float = 0.0
 
     def scores(self, buffer: bytes) -> np.ndarray:
-        """Mean class logits of one text's UTF-8 bytes, piece by piece so that memory stays bounded."""
-        total, count = np.zeros(len(self.classes)), 0
+        """Mean class logits of one text's UTF-8 bytes."""
+        return self.measured(buffer)[0]
+
+    def measured(self, buffer: bytes) -> tuple[np.ndarray, float, int]:
+        """Mean class logits, share of subwords that were met in training, and subwords; piece by piece so that memory stays bounded."""
+        total, count, known = np.zeros(len(self.classes)), 0, 0
         raw = np.frombuffer(buffer, np.uint8)
         for start in range(0, max(1, len(raw)), CHUNK):
             # Subwords that start in this piece may end in the next one.
             for _, buckets in _subwords(raw[start : start + CHUNK + max(ORDERS) - 1], CHUNK):
                 total += self.logits.T @ np.bincount(buckets, minlength=BUCKETS) if len(buckets) > 4 * BUCKETS else self.logits[buckets].sum(0, dtype=np.float64)
                 count += len(buckets)
-        return total / max(1, count) + self.bias
+                known += len(buckets) if self.met is None else int(self.met[buckets].sum())
+        return total / max(1, count) + self.bias, known / max(1, count), count
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Names, scores and whether each text is rejected."""
+        names, scores, rejected = [], [], []
         for text in texts:
             if not self.classes or not has_letter(text):
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                rejected.append(True)
                 continue
-            z = self.scores(text.encode("utf-8", "surrogatepass")) * self.temperature
+            z, known, count = self.measured(text.encode("utf-8", "surrogatepass"))
+            z = z * self.temperature
             p = np.exp(z - z.max())
             k = int(np.argmax(p))
             names.append(self.classes[k])
             scores.append(float(p[k] / p.sum()))
-        return names, scores
+            rejected.append(scores[-1] < self.threshold or known + _margin(count) < self.least_known)
+        return names, scores, rejected
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+
+def _margin(count: int) -> float:
+    """One standard error, at most, of a share of so many subwords."""
+    return 0.5 / max(1, count) ** 0.5
 
 
 def _bags(text: str, span: int = 1500):
@@ -157,20 +180,42 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
     p = np.exp(z * model.temperature - (z * model.temperature).max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     right = p.argmax(1) == y
-    least = float(p.max(1)[right].min()) if right.any() else 0.0
-    model.threshold = min(0.5, 0.9 * least)
+    if right.any():
+        model.threshold = 0.9 * float(np.quantile(p.max(1)[right], LOST))
+    met = np.zeros((len(classes), BUCKETS), bool)
+    for b, _, k in bags:
+        met[k, b] = True
+    model.met = met.any(0)
+    model.least_known = _limit(model, met, held, of)
     return model
 
 
+def _limit(model: LanguageModel, met: np.ndarray, held: list, of: dict[str, int]) -> float:
+    """The share of known subwords between that of learned languages and that of the same rows under all other labels."""
+    own, foreign = [], []
+    others = [np.delete(met, k, 0).any(0) for k in range(len(met))]
+    for text, label in held:
+        found = [b for _, b in _subwords(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))]
+        buckets = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(buckets):
+            own.append(float(model.met[buckets].mean()) + _margin(len(buckets)))
+            foreign.append(float(others[of[label]][buckets].mean()) + _margin(len(buckets)))
+    if not own:
+        return 0.0
+    low, high = float(np.quantile(own, LOST)), float(np.quantile(foreign, 1 - PASSED))
+    return (low + high) / 2 if high < low else low
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_class: int = 250, max_chars: int = 20_000) -> LanguageModel:
+def fit(docs: DataFrame, per_class: int = 250, max_chars: int = 20_000, max_classes: int | None = None) -> LanguageModel:
     """Learn from text and lang of the labelled rows that are not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars))
     labelled = labelled.select("text", "lang", (F.xxhash64("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).alias("h"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect()
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = (common if max_classes is None else common.limit(max_classes)).collect()  # a row a label
     if not counts:
         return train([], [])
     # Each label keeps the rows under its own hash bound, about per_class of them.
@@ -189,18 +234,17 @@ def fit(docs: DataFrame, per_class: int = 250, max_chars: int = 20_000) -> Langu
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score and rejected (below the calibrated threshold, or ``und``) added."""
+    """docs with lang_pred, score and rejected (beyond a calibrated limit, or ``und``) added; columns called so, in any case of letters, give way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "lang_pred string, score double, rejected boolean"
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*[docs[c] for c in own])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")])
 
     def run(batches):
         m = shared.value
         for batch in pieces(batches):
-            names, scores = m.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            names, scores, rejected = m.judge(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < m.threshold for n, s in zip(names, scores, strict=True)], pa.bool_())],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*batch.schema.names, "lang_pred", "score", "rejected"],
             )
 

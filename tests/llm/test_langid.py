@@ -28,6 +28,32 @@ def test_defined_cases(spark):
     assert again == got
 
 
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。", "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.", "junk": "xkcd qwrtz plmnb vcxzq wrtzp kjhgf mnbvc qxzwv",
+}
+
+
+def test_rejection(spark):
+    """Languages that were not learned and letter junk go, also one that is held back from training; at most 1 % of learned rows do."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = fit(docs)
+    names, scores, rejected = model.judge(list(FOREIGN.values()))
+    assert rejected == [True] * len(FOREIGN)
+    kept = predict(docs, model).filter("lang IS NOT NULL").selectExpr("avg(IF(rejected, 1, 0)) AS lost", "avg(IF(lang_pred = lang, 1, 0)) AS right").first()
+    assert kept.lost <= 0.01 and kept.right >= 0.98
+    without = fit(docs.filter("lang <> 'de'"))
+    german = predict(docs.filter("lang = 'de'"), without).selectExpr("avg(IF(rejected, 1, 0)) AS gone").first()
+    assert german.gone >= 0.9
+
+
+def test_columns_in_other_case(spark):
+    docs = spark.createDataFrame([(1, "text", 2.0, "x", "y")], "doc_id long, text string, Score double, LANG_PRED string, Rejected string")
+    found = predict(docs, fit(docs.withColumn("lang", docs.text).limit(0)))
+    assert found.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and found.first().lang_pred == "und"
+
+
 def test_without_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "text", None, "s")], "doc_id long, text string, lang string, source string")
     assert [r.lang_pred for r in predict(docs, fit(docs)).collect()] == ["und"]
