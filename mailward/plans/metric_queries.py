@@ -105,12 +105,6 @@ def figure_data(spark, d):
     return metrics.figure_rows(_metrics(spark, d))
 
 
-@query("locale_coverage", "SELECT '' AS locale, '' AS metric_id WHERE false")
-def locale_coverage(spark, d):
-    """Labels that a locale lacks; none, as labels are made for the whole catalogue."""
-    return metrics.missing_labels(spark, metrics.labels(spark))
-
-
 _REPORT = [
     ("population", "total rows", "true", "total"), ("population", "errored", "error <> ''", "total"), ("population", "analyzable", "error = ''", "total"), ("population", "mx present", "ok AND has_mx", "analyzable"), ("dns", "ds record", "ok AND has_ds_record", "analyzable"),
     ("spf", "has spf", "mail AND has_spf", "mx"), *[("spf", f"all={t}", f"mail AND spf_all_mechanism = '{t}'", "mx") for t in ("hardfail", "softfail", "neutral", "pass", "none")], ("spf", "near limit", "mail AND spf_near_limit", "mx"),

@@ -144,10 +144,10 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
     ordered.write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(f"{folder}/csv")
 
 
-def csv_parity(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """metric_id and parity of each metric that either file has: all fields equal as text."""
+def csv_parity(spark: SparkSession, folder: str, schema: str, csv_folder: str | None = None) -> DataFrame:
+    """metric_id and parity of each metric that either file has: all fields equal as text. The CSV file may lie elsewhere."""
     one = spark.read.schema(schema).json(f"{folder}/json")
-    two = spark.read.option("header", True).csv(f"{folder}/csv")
+    two = spark.read.option("header", True).csv(f"{csv_folder or folder}/csv")
     if set(one.columns) != set(two.columns):
         raise ValueError("the files have different fields")
     rest = [c for c in one.columns if c != "metric_id"]

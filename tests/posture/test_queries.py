@@ -24,7 +24,7 @@ def test_equals_sql(spark, name):
     from mailward.plans import ORACLES, QUERIES
 
     db = duckdb.connect()
-    for t in ("customer", "part", "events", "documents", "lineitem", "orders", "pages"):
+    for t in ("customer", "part", "events", "documents", "lineitem", "orders", "pages", "supplier"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     frame, twin = QUERIES[name](spark, DATA), db.execute(ORACLES[name])
     columns = [c[0] for c in twin.description]
