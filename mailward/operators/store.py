@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import running
+
 
 def inconclusive() -> Column:
     """Whether a row has an error, or keeps an error status without one; rows without statuses have only the former."""
@@ -71,6 +73,24 @@ def shuffled(plan: DataFrame, seed: int = 42, limit: int | None = None) -> DataF
     return plan.join(kept, "pos").select(F.col("place").alias("pos"), "domain")
 
 
+def seeded_plan(plan: DataFrame, seed: int = 42, limit: int | None = None) -> DataFrame:
+    """The plan in an order that the seed alone decides, then limited: by a digest of seed, position and domain.
+
+    Places are counted in ranges of digests, so no task and no driver holds all of them.
+    """
+    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "pos", "domain"), 256)
+    ordered = running(plan.select("pos", "domain", key.alias("key"), F.lit(0).alias("whole")), "whole", ["key"], sums={"before": F.lit(1)})
+    placed = ordered.select((F.col("before") + 1).cast("long").alias("pos"), "domain")
+    return placed if limit is None else placed.filter(F.col("pos") <= limit)
+
+
+def retry_inspected(plan: DataFrame, results: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """What of a plan is to be tried again, and the accounting of the stored results; refused unless both have the same domains."""
+    if (odd := same_universe(plan, results).groupBy("side").count().collect()):
+        raise ValueError(f"plan and results differ: { {r.side: r['count'] for r in odd} }")
+    return to_retry(plan, results), accounting(results).first().asDict()
+
+
 def same_plan(plan: DataFrame, expected: DataFrame) -> bool:
     """Whether both have the same domain at each position."""
     both = plan.select("pos", "domain").join(expected.select("pos", F.col("domain").alias("other")), "pos", "full_outer")

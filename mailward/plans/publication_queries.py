@@ -1,14 +1,14 @@
-"""Locale files written from suppliers, lines of figures, frozen counts, and metrics that are wrong on purpose."""
+"""Locale files written from suppliers, lines of figures, frozen counts, metrics that are wrong on purpose, shuffled plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, publication, quality
+from ..operators import metrics, publication, quality, store
 from ..sources import filesets
 from ..sources.files import csv_parity, write_metrics
 from ..sources.folders import shared_path
-from ..sources.projection import wide
+from ..sources.projection import plan, wide
 from .registry import query
 from .twins import COUNTED
 
@@ -101,3 +101,13 @@ def csv_parity_tampered(spark, d):
     changed = rows.withColumn("percent", F.when(F.regexp_extract("metric_id", r"#(\d+)$", 1).cast("int") % 7 == 0, F.concat("percent", F.lit("0"))).otherwise(F.col("percent")))
     write_metrics(changed, two)
     return csv_parity(spark, one, rows.schema.simpleString()[7:-1].replace(":", " "), csv_folder=two)
+
+
+@query("plan_shuffle", "SELECT pos, domain FROM (SELECT row_number() OVER (ORDER BY sha256('42|' || c_custkey || '|d' || c_custkey || '.ch')) AS pos, 'd' || c_custkey || '.ch' AS domain FROM customer)")
+def plan_shuffle(spark, d):
+    return store.seeded_plan(plan(spark, d))
+
+
+@query("plan_shuffle_limit", "SELECT pos, domain FROM (SELECT row_number() OVER (ORDER BY sha256('7|' || c_custkey || '|d' || c_custkey || '.ch')) AS pos, 'd' || c_custkey || '.ch' AS domain FROM customer) WHERE pos <= 40")
+def plan_shuffle_limit(spark, d):
+    return store.seeded_plan(plan(spark, d), seed=7, limit=40)

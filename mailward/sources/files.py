@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import trimmed
-from ..schema import ALL, layout
+from ..schema import ALL, COLUMNS, layout, typed
 
 TABLE = "dmarc_scan_results"  # fixed value: the stored table's name
 
@@ -106,6 +106,13 @@ def sqlite_results(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def typed_sqlite(spark: SparkSession, path: str) -> DataFrame:
+    """Stored results of a SQLite file under the canonical names and types, for accounting, retries and the report; validate them first."""
+    rows = sqlite_results(spark, path)
+    flags = [c for c in rows.columns if COLUMNS.get(layout(rows.columns).get(c, c)) == "boolean"]
+    return typed(rows.withColumns({c: F.col(c).cast("int") for c in flags}))
+
+
 def guarded_write(rows: DataFrame, path: str) -> None:
     """Replace stored Parquet results; refuses rows or an existing target of another layout. The commit is the writer's own."""
     spark = rows.sparkSession
