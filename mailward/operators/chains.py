@@ -95,6 +95,31 @@ def sequence_violations(runs: DataFrame, ranges: int | None = None) -> DataFrame
     return with_predecessors(runs, ranges).select("run_id", F.array_join(named, ",").alias("broken"))
 
 
+# What must hold of a run against what is pinned for its chain, as conditions; null counts as broken.
+PIN_RULES = {
+    "chain_pinned": "pin_source IS NOT NULL",
+    "source_pinned": "source_sha = pin_source AND source_count = pin_count",
+    "root_pinned": "NOT first OR (run_mode = 'fresh' AND core = pin_root_core AND attempted = pin_count AND pre_total = 0 AND pre_error = 0 AND post_total = pin_count)",
+    "retry_pinned": "first OR (run_mode = 'resume' AND core = pin_core AND pre_total = pin_count AND post_total = pin_count AND attempted = pre_error)",
+    "final_accounts": "NOT last OR (post_total = pin_count AND post_error = pin_errors)",
+}
+
+
+def pinned_violations(runs: DataFrame, pins: DataFrame, ranges: int | None = None) -> DataFrame:
+    """chain, run_id and the broken rules of each run against pins, in order, comma-joined; a pinned chain without runs gives one row, broken: chain_missing.
+
+    runs has run_mode and attempted beside the columns of with_predecessors(); pins(chain, pin_source, pin_count, pin_root_core,
+    pin_core, pin_errors) holds a chain once. The last run of a chain is the one whose accounts are published.
+    """
+    order = F.struct("started", "run_id")
+    before = running(runs, "chain", ["started", "run_id"], ranges=ranges, sums={"runs_before": F.lit(1)})
+    ends = runs.groupBy("chain").agg(F.max(order).alias("_end"))
+    placed = before.join(ends, "chain").select("*", (F.col("runs_before") == 0).alias("first"), (order == F.col("_end")).alias("last"))
+    named = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(p), F.lit(False)), F.lit(k)) for k, p in PIN_RULES.items()]))
+    found = placed.join(pins, "chain", "left").select("chain", "run_id", F.array_join(named, ",").alias("broken"))
+    return found.unionByName(pins.join(ends, "chain", "left_anti").select("chain", F.lit(None).cast("long").alias("run_id"), F.lit("chain_missing").alias("broken")))
+
+
 def utc_text(at: Column) -> Column:
     """A timestamp as ISO 8601 in UTC with microseconds and a final Z; the session's zone must be UTC."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

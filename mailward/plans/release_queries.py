@@ -134,7 +134,7 @@ _BENT = "CASE WHEN chain % 29 = 0 AND nth = 1 THEN last_value(manifest_sha) OVER
 
 def _bent_sql(sha: str) -> str:
     return f"""SELECT run_id, chain, nth, manifest_sha, {_BENT} AS previous_sha, nth + CASE WHEN run_id % 101 = 0 THEN 1 ELSE 0 END AS sequence, started, finished - CASE WHEN run_id % 83 = 0 THEN 20 ELSE 0 END + CASE WHEN run_id % 89 = 0 THEN 25 ELSE 0 END AS finished,
-  CASE WHEN run_id % 73 = 0 THEN 'odd' WHEN nth = 1 THEN 'old' ELSE 'new' END AS core, CASE WHEN run_id % 79 = 0 THEN 'other' ELSE 'source' END AS source_sha, source_count, pre_total, pre_error, post_total, post_error FROM ({_linked_sql(sha)}) AS linked"""
+  CASE WHEN run_id % 73 = 0 THEN 'odd' WHEN nth = 1 THEN 'old' ELSE 'new' END AS core, CASE WHEN run_id % 79 = 0 THEN 'other' ELSE 'source' END AS source_sha, source_count, run_mode, attempted, pre_total, pre_error, post_total, post_error FROM ({_linked_sql(sha)}) AS linked"""
 
 
 def _bent(spark, d):
@@ -167,6 +167,19 @@ def run_overlaps(spark, d):
     return chains.sequence_violations(_bent(spark, d))
 
 
+_PINS = "SELECT c_custkey AS chain, CASE WHEN c_custkey % 31 = 0 THEN 'other' ELSE 'source' END AS pin_source, CAST(100 AS BIGINT) AS pin_count, CASE WHEN c_custkey % 37 = 0 THEN 'odd' ELSE 'old' END AS pin_root_core, 'new' AS pin_core, CAST(30 AS BIGINT) AS pin_errors FROM customer WHERE c_custkey % 41 <> 0"
+
+
+@query("run_chain_pinned", f"""{_BENT_HEAD}, pins AS ({_PINS}), placed AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY started, run_id) AS place, row_number() OVER (PARTITION BY chain ORDER BY started DESC, run_id DESC) AS back FROM runs)
+  SELECT p.chain, run_id, array_to_string([x FOR x IN [CASE WHEN pin_source IS NULL THEN 'chain_pinned' END, CASE WHEN pin_source IS NULL OR source_sha <> pin_source OR source_count <> pin_count THEN 'source_pinned' END,
+    CASE WHEN place = 1 AND (pin_source IS NULL OR run_mode <> 'fresh' OR core <> pin_root_core OR attempted <> pin_count OR pre_total + pre_error > 0 OR post_total <> pin_count) THEN 'root_pinned' END,
+    CASE WHEN place > 1 AND (pin_source IS NULL OR run_mode <> 'resume' OR core <> pin_core OR pre_total <> pin_count OR post_total <> pin_count OR attempted <> pre_error) THEN 'retry_pinned' END,
+    CASE WHEN back = 1 AND (pin_source IS NULL OR post_total <> pin_count OR post_error <> pin_errors) THEN 'final_accounts' END] IF x IS NOT NULL], ',') AS broken FROM placed AS p LEFT JOIN pins ON pins.chain = p.chain
+  UNION ALL SELECT chain, NULL, 'chain_missing' FROM pins WHERE chain NOT IN (SELECT chain FROM runs)""")
+def run_chain_pinned(spark, d):
+    return chains.pinned_violations(_bent(spark, d), _of(spark, d, _PINS))
+
+
 @query("run_intervals", f"{_BENT_HEAD}, e AS (SELECT *, max(finished) OVER {_EARLIER} AS latest FROM runs) SELECT chain, count(*) AS runs, min(started) AS started, max(finished) AS finished, coalesce(max(greatest(started - latest, 0)), 0) AS longest_gap FROM e GROUP BY chain")
 def run_intervals(spark, d):
     return chains.intervals(_bent(spark, d))
