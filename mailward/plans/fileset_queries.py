@@ -36,7 +36,7 @@ def checksum_diff(spark, d):
     return filesets.compared(filesets.checksum_rows(spark, path), filesets.hashed(filesets.listed(spark, folder)))
 
 
-@query("file_inventory", f"{_PAGES} SELECT f.name, actual AS sha256, CAST(strlen(html) AS BIGINT) AS bytes, 'application/octet-stream' AS media_type FROM f JOIN p USING (name)")
+@query("file_inventory", f"{_PAGES} SELECT f.name, actual AS sha256, CAST(strlen(html) AS BIGINT) AS bytes, 'text/html' AS media_type FROM f JOIN p USING (name)")
 def file_inventory(spark, d):
     return filesets.inventory(spark, _page_files(spark, d)[0])
 

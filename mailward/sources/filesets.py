@@ -23,10 +23,10 @@ CHUNK = 1 << 22
 CHECKSUMS = "checksums.sha256"
 #: Rows of a side that are broadcast: a file's row takes some 300 bytes.
 FEW_FILES = 100_000
-# Suffixes of files that are never published, and of media types.
-PRIVATE_SUFFIXES = (".db", ".sqlite", ".sqlite3", ".db3", ".db-wal", ".db-shm", ".db-journal")
+# Suffixes of files that are never published, of scratch files, and media types by suffix.
+PRIVATE_SUFFIXES = (".db", ".sqlite", ".sqlite3", ".wal", ".journal")
 SCRATCH_SUFFIXES = ("~", ".bak", ".tmp", ".swp")
-MEDIA_TYPES = {".json": "application/json", ".csv": "text/csv", ".md": "text/markdown", ".svg": "image/svg+xml", ".png": "image/png", ".txt": "text/plain", ".cff": "application/yaml", ".der": "application/octet-stream", ".sig": "application/octet-stream", ".sha256": "text/plain"}
+MEDIA_TYPES = {".json": "application/json", ".csv": "text/csv", ".md": "text/markdown", ".cff": "text/yaml", ".svg": "image/svg+xml", ".png": "image/png", ".sha256": "text/plain", ".txt": "text/plain", ".html": "text/html", ".xml": "text/xml", ".pdf": "application/pdf", ".gz": "application/gzip"}
 
 
 def _located(uri: str):
@@ -153,9 +153,10 @@ def hygiene(files: DataFrame) -> DataFrame:
 
 
 def media_type(name):
-    """Media type of a file by its suffix; octet-stream for others."""
+    """Media type of a file by its suffix, text for a file called LICENSE; octet-stream for others."""
     types = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
-    return F.coalesce(F.element_at(types, F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))), F.lit("application/octet-stream"))
+    licence = F.when(F.element_at(F.split(name, "/"), -1) == "LICENSE", "text/plain")
+    return F.coalesce(licence, F.element_at(types, F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))), F.lit("application/octet-stream"))
 
 
 def checksum_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -70,6 +70,12 @@ def table(spark, path):
     return f"file://{path}"
 
 
+def test_media_types(spark):
+    names = {"LICENSE": "text/plain", "a/LICENSE": "text/plain", "CITATION.cff": "text/yaml", "x.JSON": "application/json", "a.b/c": "application/octet-stream", "x.der": "application/octet-stream"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", filesets.media_type(F.col("name")).alias("t")).collect()
+    assert {r.name: r.t for r in rows} == names
+
+
 def data_file(path):
     return sorted(p for p in path.iterdir() if p.name.endswith(".parquet"))[0]
 
