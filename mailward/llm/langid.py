@@ -35,7 +35,7 @@ from .common import fresh, pieces, table
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: Parts of rightly classified rows that may lie below a limit, and of foreign ones that may lie above.
-LOST, PASSED = 0.001, 0.01
+LOST, PASSED = 0.001, 0.1
 UNKNOWN = "und"
 CHUNK = 1 << 18
 
@@ -203,7 +203,8 @@ def _limit(model: LanguageModel, met: np.ndarray, held: list, of: dict[str, int]
     if not own:
         return 0.0
     low, high = float(np.quantile(own, LOST)), float(np.quantile(foreign, 1 - PASSED))
-    return (low + high) / 2 if high < low else low
+    # Where the two overlap no limit can part them: then it lies as far below the learned rows as these lie below 1.
+    return (low + high) / 2 if high < low else max(0.0, 2 * low - 1)
 
 
 def held_out(doc_id: Column) -> Column:
