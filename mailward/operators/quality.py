@@ -88,7 +88,8 @@ def metric_checks(metrics: DataFrame) -> DataFrame:
     from .metrics import display
 
     base = metrics.groupBy("metric_id").agg(F.count(F.lit(1)).alias("times"), F.max("numerator").alias("named"))
-    joined = metrics.join(base.select(F.col("metric_id").alias("denominator_id"), "named"), "denominator_id", "left").join(base.select("metric_id", "times"), "metric_id")
+    # As many rows as metrics, whatever the planner takes them for: none of this goes through the driver.
+    joined = metrics.join(base.select(F.col("metric_id").alias("denominator_id"), "named").hint("merge"), "denominator_id", "left").join(base.select("metric_id", "times").hint("merge"), "metric_id")
     return joined.select(
         "metric_id",
         (F.col("times") == 1).alias("unique_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, publication, quality, store
+from ..operators.tasks import spread
 from ..sources import filesets
 from ..sources.files import csv_parity, write_metrics
 from ..sources.folders import shared_path
@@ -76,7 +77,7 @@ def _tampered(spark, d):
     sets = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("k"))
     own = rows.collect()  # a closed catalogue
     listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("i", "metric_id", "numerator", "denominator_id", "denominator", "percent")]) for r in own])
-    every = sets.select("k", F.inline(listed))
+    every = spread(sets, len(own), "k").select("k", F.inline(listed))
     made = every.select(F.concat_ws("#", "metric_id", "k").alias("metric_id"), *[F.expr(v).alias(c) for c, v in _WRONG.items() if c not in ("times", "denominator_id")], F.concat_ws("#", F.expr(_WRONG["denominator_id"]), "k").alias("denominator_id"), F.explode(F.sequence(F.lit(1), F.expr(_WRONG["times"]))).alias("nth"))
     return made.drop("nth")
 
