@@ -3,7 +3,8 @@
 Two joins with the answers: the first asks for MX, which decides what else is asked; the second asks for
 all the rest at once. What the first one found travels with a domain's queries in one row of its own, so the
 gate is computed once. A group has one row for each query of a domain, so it stays small.
-AAAA is joined for every mail host and counts only where A fell through.
+AAAA is joined for every mail host and counts only where A fell through. Both sides of a join and the groups are
+dealt to as many tasks as the planned domains ask for (parts), and neither side is ever broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import parsers, providers
 from ..functions.text import first_match
 from ..schema import ALL, COLUMNS, default
+from .tasks import tasks_for
 
 # The states of a lookup, and the names asked for beside the domain itself.
 STATUSES = ("ok", "nxdomain", "noanswer", "error")
@@ -21,6 +23,8 @@ GROUP_A = (("DS", ""), ("NS", ""), ("TXT", ""), ("SPF", ""), ("TXT", "_dmarc."))
 GROUP_C = (("TXT", "default._bimi."), ("TXT", "_mta-sts."), ("TXT", "_smtp._tls."), ("CAA", ""))
 TLSA_PREFIX = "_25._tcp."
 EMPTY = "CAST(array() AS array<string>)"
+#: Questions that a domain asks at most, about.
+ASKED = 30
 
 _QUERY = "struct<stage:int,idx:int,rdtype:string,name:string,item:string>"
 
@@ -53,16 +57,23 @@ def unique_answers(answers: DataFrame) -> DataFrame:
     return known.select("name", "rdtype", F.when(agreed, F.col("r.status")).otherwise("error").alias("status"), F.when(agreed, F.col("r.answers")).otherwise(F.expr(EMPTY)).alias("answers"))
 
 
-def looked_up(asked: DataFrame, answers: DataFrame) -> DataFrame:
+def parts_of(plan: DataFrame) -> int:
+    """Tasks for the questions of the planned domains."""
+    return tasks_for(plan.sparkSession, plan.count() * ASKED)
+
+
+def looked_up(asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """asked(name, rdtype, ...) with status and answers; a missing response is an error."""
-    found = asked.join(unique_answers(answers), ["name", "rdtype"], "left")
+    keys = ["name", "rdtype"]
+    found = asked.repartition(parts, *keys).join(unique_answers(answers.repartition(parts, *keys)).hint("merge"), keys, "left")
     return found.withColumns({"status": F.coalesce("status", F.lit("error")), "answers": F.coalesce("answers", F.expr(EMPTY))})
 
 
-def gated(plan: DataFrame, answers: DataFrame) -> DataFrame:
+def gated(plan: DataFrame, answers: DataFrame, parts: int | None = None) -> DataFrame:
     """domain, mx_status, malformed, goes_on, hosts, provider after the MX lookup of each domain of plan, once."""
+    parts = parts or parts_of(plan)
     asked = plan.select("domain").distinct().select("domain", F.col("domain").alias("name"), F.lit("MX").alias("rdtype"))
-    found = looked_up(asked, answers.filter("rdtype = 'MX'"))
+    found = looked_up(asked, answers.filter("rdtype = 'MX'"), parts)
     parsed = F.when(F.col("status") == "ok", parsers.mx_answers("answers")).otherwise(parsers.mx_answers(F.expr(EMPTY)))
     read = found.select("domain", F.col("status").alias("mx_status"), parsed.alias("mx"))
     stops = F.col("mx_status").isin("nxdomain", "error")
@@ -94,12 +105,13 @@ def observed(plan: DataFrame, answers: DataFrame) -> DataFrame:
 
     got leaves out the AAAA of hosts whose A had settled the matter.
     """
-    gates = gated(plan, answers)
+    parts = parts_of(plan)
+    gates = gated(plan, answers, parts)
     own = _asked(0, F.lit(0), "MX", F.col("domain"), F.lit(""))
     rows = gates.select("domain", F.struct(*_GATE).alias("gate"), F.inline(F.concat(F.array(own), _queries())))
-    rows = looked_up(rows.withColumn("gate", F.when(F.col("stage") == 0, F.col("gate"))), answers)
+    rows = looked_up(rows.withColumn("gate", F.when(F.col("stage") == 0, F.col("gate"))), answers, parts)
     fields = F.struct("stage", "idx", "rdtype", "name", "item", "status", "answers", "gate")
-    whole = rows.groupBy("domain").agg(F.array_sort(F.collect_list(fields)).alias("all_got"))
+    whole = rows.repartition(parts, "domain").groupBy("domain").agg(F.array_sort(F.collect_list(fields)).alias("all_got"))
     split = whole.select("domain", F.expr("get(all_got, 0).gate AS gate"), F.expr("slice(all_got, 2, size(all_got)) AS all_got"))
     # Hosts whose A is neither an address nor a final answer are those whose AAAA counts.
     open_hosts = "transform(filter(all_got, q -> q.rdtype = 'A' AND (q.status = 'noanswer' OR (q.status = 'ok' AND size(q.answers) = 0))), q -> q.idx)"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import scanned
+from ..operators.scan import ASKED, scanned
+from ..operators.tasks import spread
 from .folders import committed, shared_path
 
 RAW_SQL = """
@@ -59,7 +60,7 @@ SCAN_HEAD = f"WITH raw AS ({RAW_SQL}), answers AS ({ANSWERS_SQL})"
 
 
 def _of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}"), customer=spread(spark.read.parquet(f"{sf_dir}/customer.parquet"), ASKED, "c_custkey"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

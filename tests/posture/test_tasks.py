@@ -22,3 +22,16 @@ def test_metric_checks_without_broadcast(spark, tmp_path):
     checks = quality.metric_checks(rows)
     assert "BroadcastExchange" not in plan_of(checks)
     assert checks.filter("unique_id AND counts_hold AND denominator_holds AND percent_holds").count() == checks.count() == 2000
+
+
+def test_scan_without_broadcast(spark, tmp_path):
+    """A few planned domains whose answers are made from as few rows: their number is no estimate's."""
+    from mailward.operators import scan
+
+    spark.range(40).write.parquet(f"file://{tmp_path}/domains")
+    plan = spark.read.parquet(f"file://{tmp_path}/domains").select(F.concat(F.lit("d"), "id", F.lit(".ch")).alias("domain"))
+    answers = plan.select(F.expr("inline(transform(array('MX', 'DS', 'NS'), t -> struct(domain AS name, t AS rdtype, 'noanswer' AS status, CAST(array() AS array<string>) AS answers)))"))
+    got = scan.observed(plan, answers)
+    assert "BroadcastExchange" not in plan_of(got)
+    assert got.count() == 40
+    assert scan.observed(plan, answers).rdd.getNumPartitions() == scan.parts_of(plan)
