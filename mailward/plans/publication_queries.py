@@ -96,11 +96,12 @@ def validate_tampered_metrics(spark, d):
 @query("csv_parity_tampered", f"""{_WRONG_SQL}, one AS (SELECT DISTINCT * EXCLUDE (nth) FROM wrong) SELECT metric_id, hash_free <> 0 AS parity FROM (SELECT metric_id, CAST(regexp_extract(metric_id, '#(\\d+)$', 1) AS INTEGER) % 7 AS hash_free FROM one)""")
 def csv_parity_tampered(spark, d):
     """Both files of one set of metrics, the CSV one changed in every row of each seventh set."""
-    rows = _tampered(spark, d).distinct()
-    one, two = shared_path(spark, "metrics"), shared_path(spark, "metrics")
-    write_metrics(rows, one)
+    kept, one, two = (shared_path(spark, "metrics") for _ in range(3))
+    _tampered(spark, d).distinct().write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    write_metrics(rows, one, one_file=False)
     changed = rows.withColumn("percent", F.when(F.regexp_extract("metric_id", r"#(\d+)$", 1).cast("int") % 7 == 0, F.concat("percent", F.lit("0"))).otherwise(F.col("percent")))
-    write_metrics(changed, two)
+    write_metrics(changed, two, one_file=False)
     return csv_parity(spark, one, rows.schema.simpleString()[7:-1].replace(":", " "), csv_folder=two)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import trimmed
+from ..operators.tasks import tasks_for
 from ..schema import ALL, COLUMNS, layout, typed
 
 TABLE = "dmarc_scan_results"  # fixed value: the stored table's name
@@ -143,10 +144,11 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
 
 
-def write_metrics(metrics: DataFrame, folder: str) -> None:
-    """metrics as JSON lines and as CSV, ordered by id; a closed catalogue, so one file each."""
+def write_metrics(metrics: DataFrame, folder: str, one_file: bool = True) -> None:
+    """metrics as JSON lines and as CSV, ordered by id: one file each for a closed catalogue, or as many as its rows ask for, in ranges of the order."""
     fields = ["metric_id", *sorted(set(metrics.columns) - {"metric_id"})]
-    ordered = metrics.select(*fields).orderBy("metric_id").coalesce(1)
+    rows = metrics.select(*fields)
+    ordered = rows.orderBy("metric_id").coalesce(1) if one_file else rows.repartitionByRange(tasks_for(rows.sparkSession, rows.count()), "metric_id").sortWithinPartitions("metric_id")
     ordered.write.json(f"{folder}/json")
     ordered.write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(f"{folder}/csv")
 

@@ -35,3 +35,15 @@ def test_scan_without_broadcast(spark, tmp_path):
     assert "BroadcastExchange" not in plan_of(got)
     assert got.count() == 40
     assert scan.observed(plan, answers).rdd.getNumPartitions() == scan.parts_of(plan)
+
+
+def test_metric_files(spark, tmp_path):
+    from mailward.sources.files import csv_parity, write_metrics
+
+    rows = spark.range(200_000).select(F.concat(F.lit("m"), "id").alias("metric_id"), (F.col("id") % 7).alias("numerator"))
+    for name, one in (("one", True), ("many", False)):
+        write_metrics(rows, f"file://{tmp_path}/{name}", one_file=one)
+    files = {name: len(list((tmp_path / name / "csv").glob("part-*"))) for name in ("one", "many")}
+    assert files["one"] == 1 < files["many"]
+    found = csv_parity(spark, f"file://{tmp_path}/one", "metric_id string, numerator long", csv_folder=f"file://{tmp_path}/many")
+    assert found.count() == found.filter("parity").count() == 200_000
