@@ -361,16 +361,24 @@ def _possible(pairs: DataFrame, rows: int, reps: DataFrame, percent: int) -> Dat
     return written(few(marked, rows, 4096).mapInArrow(run, "a long, b long"), "possible", rows)
 
 
-def _across(held: DataFrame, held_n: int, nodes: DataFrame, nodes_bytes: int, percent: int, most: int) -> DataFrame:
-    """(a, b, apart, left): nearest partners with other labels in the held_n postings held(key, node, label), and how many pairs of a cell are in no list.
+def gathered(known: DataFrame) -> DataFrame:
+    """(cell, node, label): the postings known(key, node, label) of keys that hold several labels, by their smallest label, each node once.
 
-    The postings of several labels are gathered by their smallest label, so a node that shares hundreds of
-    keys with a group of near copies stands in its cell once. Cells of many bytes are cut into bands of
-    length, where partners are one band apart at most, and into blocks of nodes, of which every two meet.
+    Nodes that share a key share its cell, so cells may take the keys' place in later rounds: every link still has one,
+    and a node that shares hundreds of keys with a group of near copies has one row in it. Keys of one label get no
+    other later, since labels only merge.
     """
-    keys = held.groupBy("key").agg(F.min("label").alias("cell"), F.max("label").alias("last")).filter("cell < last").select("key", "cell")
-    placed = held.join(keys, "key").select("cell", "node", "label").distinct()
-    rows = written(placed.join(maybe_broadcast(nodes.withColumn("cost", F.length("bits") + ROW_BYTES), 1, nodes_bytes), "node"), "cells", held_n)
+    keys = known.groupBy("key").agg(F.min("label").alias("cell"), F.max("label").alias("last")).filter("cell < last").select("key", "cell")
+    return known.join(keys, "key").select("cell", "node", "label").distinct()
+
+
+def _across(placed: DataFrame, placed_n: int, nodes: DataFrame, nodes_bytes: int, percent: int, most: int) -> DataFrame:
+    """(a, b, apart, left): nearest partners with other labels in the placed_n rows placed(cell, node, label), and how many pairs of a cell are in no list.
+
+    Cells of many bytes are cut into bands of length, where partners are one band apart at most, and into blocks of
+    nodes, of which every two meet.
+    """
+    rows = written(placed.join(maybe_broadcast(nodes.withColumn("cost", F.length("bits") + ROW_BYTES), 1, nodes_bytes), "node"), "cells", placed_n)
     sizes = rows.groupBy("cell").agg(F.sum("cost").alias("size"))
     found, most_bytes = sizes.agg(F.sum("size"), F.max("size")).first()
     dealt, cell = rows, F.col("cell")
@@ -460,7 +468,9 @@ def _joined_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     while left:
         held_n, joined_n = held.count(), joined.count()
         known = held.select("key", "node").join(maybe_broadcast(joined, joined_n, 32), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        nearest = _across(known, held_n, nodes, nodes_bytes, percent, most)
+        placed = written(gathered(known), "placed", held_n)
+        discarded(held)
+        nearest = _across(placed, placed.count(), nodes, nodes_bytes, percent, most)
         left, listed = nearest.agg(F.sum("left" if most > 1 else F.lit(1)), F.count(F.lit(1))).first()
         best = nearest.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if most == 1 else nearest
         fresh_pairs = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -477,8 +487,8 @@ def _joined_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
         # A node without any partner left in this round gets none later, since labels only merge.
         if left:
             asking = nearest.select(F.col("a").alias("node")).distinct()
-            held, spent = written(held.join(maybe_broadcast(asking, listed, 16), "node", "left_semi"), "held", held_n), held
-            discarded(spent)
+            held = written(placed.select(F.col("cell").alias("key"), "node").join(maybe_broadcast(asking, listed, 16), "node", "left_semi"), "held", held_n)
+        discarded(placed)
         # While half of the nearest partners are links, groups shrink by a constant share a round.
         if 2 * good < max(found, 1):
             most *= 8
@@ -486,7 +496,6 @@ def _joined_texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = reps.select("node", "key_id").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("key_id").alias("component"))
     owner = written(named.join(least, "label").select("node", F.nullif("component", far).alias("component")), "owners", reps_n)
-    discarded(held)
     return (
         members.withColumn("node", _node(F.col("digest"), salt))
         .join(maybe_broadcast(owner, reps_n, 32), "node", "left")

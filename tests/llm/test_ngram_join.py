@@ -132,3 +132,14 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sha int")
     kept = keep_one_each(docs)
     assert kept.columns == docs.columns and sorted(r.sha for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_gathered_once_a_cell(spark):
+    """A node that shares hundreds of keys with others has one row a cell, in later rounds too, and no pair of labels is lost."""
+    from mailward.llm.ngram_join import gathered
+
+    rows = [(k, n, n) for k in range(200) for n in (1, 2, 3)] + [(900, 3, 3), (900, 4, 4), (901, 5, 5), (901, 6, 5)]
+    placed = gathered(spark.createDataFrame(rows, "key long, node long, label long"))
+    assert sorted(map(tuple, placed.collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (3, 3, 3), (3, 4, 4)]
+    again = gathered(placed.withColumnRenamed("cell", "key"))
+    assert again.count() == 5
