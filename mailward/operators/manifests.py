@@ -44,6 +44,11 @@ def _part(v: Column, field: str) -> Column:
     return F.try_variant_get(v, f"$.{field}", "variant")
 
 
+def _once(value: Column, build) -> Column:
+    """build(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
@@ -80,8 +85,35 @@ def is_kind(v: Column, kind: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _misfit(field: str, kind: str):
+    """What a stated value of another kind is called."""
+    return lambda p: F.when(p.isNotNull() & ~is_kind(p, kind), F.lit(f"kind:{field}"))
+
+
 def canonical(v: Column, leave_out: str | None = None) -> Column:
-    """The canonical text of a VARIANT object, one key of its own left out; null for anything else."""
+    """The canonical text of a VARIANT object, one key of its own left out; null for anything else.
+
+    A VARIANT keeps an object's keys sorted, so its JSON is the canonical text if that is all ASCII (others may be
+    sorted by another encoding), and a key whose name stands there once can be cut out of it. All else goes field by field.
+    """
+    def shortened(text: Column) -> Column:
+        plain = F.startswith(text, F.lit("{")) & (F.length(text) == F.octet_length(text))
+        if not leave_out:
+            return F.when(plain, text)
+        key = f'"{leave_out}":'
+
+        def without(field: Column) -> Column:
+            once = F.length(text) - F.length(F.replace(text, F.lit(key), F.lit(""))) == len(key)
+            after, before = F.concat(field, F.lit(",")), F.concat(F.lit(","), field)
+            return F.when(plain & once & F.contains(text, after), F.replace(text, after, F.lit(""))).when(plain & once & F.contains(text, before), F.replace(text, before, F.lit("")))
+
+        return _once(F.concat(F.lit(key), F.to_json(_part(v, leave_out))), without)
+
+    return F.coalesce(_once(F.to_json(v), shortened), _by_fields(v, leave_out))
+
+
+def _by_fields(v: Column, leave_out: str | None = None) -> Column:
+    """canonical() from the fields one by one."""
     fields = F.try_variant_get(v, "$", "map<string,variant>")
     kept = F.filter(F.array_sort(F.map_keys(fields)), lambda k: k != leave_out) if leave_out else F.array_sort(F.map_keys(fields))
     # A key as JSON text is what its one-element list shows between the brackets.
@@ -141,7 +173,7 @@ def violations(documents: DataFrame) -> DataFrame:
     kept = kept.withColumn("version", F.when(v.isNull(), None).when(stated.isNull(), 1).when(number == 2, 2))
     forms = F.array().cast("array<string>")
     for version, spec in ((1, V1), (2, V2)):
-        wrong = [F.when(_keys(v) != _names(spec), F.lit("keys")), *[F.when(stated_field & ~is_kind(_part(v, f), k), F.lit(f"kind:{f}")) for f, k in spec.items() for stated_field in (_part(v, f).isNotNull(),)]]
+        wrong = [F.when(_keys(v) != _names(spec), F.lit("keys")), *[_once(_part(v, f), _misfit(f, k)) for f, k in spec.items()]]
         forms = F.when(F.col("version") == version, F.array_compact(F.array(*wrong))).otherwise(forms)
     kept = kept.withColumn("forms", F.when(v.isNull(), F.array(F.lit("json"))).when(F.col("version").isNull(), F.array(F.lit("version"))).otherwise(forms))
     stated_facts = kept.select("name", "version", "forms", F.when(F.size("forms") == 0, identity(v)).alias("own_identity"), *[x.alias(k) for k, x in facts(v).items()])

@@ -92,3 +92,19 @@ def test_facts_of_a_run(spark):
 def test_documents_need_all_fields(spark):
     with pytest.raises(ValueError, match="limit"):
         manifests.document({k: v for k, v in fields().items() if k != "limit"})
+
+
+def test_canonical_is_the_variant_text(spark):
+    """The short way gives what the fields one by one give, and is taken for plain documents alone."""
+    from pyspark.sql import functions as F
+
+    from mailward.operators import manifests
+
+    texts = ['{"b": 1.50, "run_id": "x", "a": {"z": [1, {"d": null, "c": "\\" \\u0001/"}], "y": 1e3}}', '{"run_id": 1}', '{"run_id": null, "a": 1}', '{"a": 1, "run_id": {"run_id": 2}}', '{"a": {"run_id": 1}, "run_id": 1}', '{"a": {"run_id": 1}}', '{"a": "\\"run_id\\":1,", "run_id": 1}',
+             '{"run_id": [1, 2], "s": "run_id"}', '{"run_id": {"x": 1}}', '{"\\ud83d\\ude00": 1, "\\uff5e": 2, "run_id": 3}', '{"\\"q\\"": 1, "a\\\\b": 2, "": 3, "run_id": ","}', '{}', '[1]', '"run_id"', 'null', 'x', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("v", F.try_parse_json("text"))
+    for key in (None, "run_id"):
+        found = rows.select(manifests.canonical(F.col("v"), key).alias("a"), manifests._by_fields(F.col("v"), key).alias("b"), "text").collect()
+        assert [r.a for r in found] == [r.b for r in found]
+    plan = rows.select(manifests.canonical(F.col("v")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan.lower() or "octetlength" in plan.lower()
