@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .folders import shared_path
 
 CHUNK = 1 << 22
+#: Files of a directory that are listed at once.
+PIECE = 2000
 CHECKSUMS = "checksums.sha256"
 #: Rows of a side that are broadcast: a file's row takes some 300 bytes.
 FEW_FILES = 100_000
@@ -47,6 +50,22 @@ def opened(uri: str):
 _LISTING = "path string, name string, length long, modified timestamp, kind string"
 
 
+def _entries(store, path: str, may_lack: bool):
+    """Facts of what a directory holds, in pieces of PIECE; a local one is read as a stream, so any number of files takes the same memory."""
+    from pyarrow import fs
+
+    if not isinstance(store, fs.LocalFileSystem):
+        found = store.get_file_info(fs.FileSelector(path, recursive=False, allow_not_found=may_lack))
+        for i in range(0, len(found), PIECE):
+            yield found[i : i + PIECE]
+        return
+    if may_lack and not os.path.exists(path):
+        return
+    with os.scandir(path) as entries:
+        while piece := [e.path for e in islice(entries, PIECE)]:
+            yield store.get_file_info(piece)
+
+
 def _children(batches):
     """What each directory of (path, name) batches holds, itself."""
     from pyarrow import fs
@@ -56,11 +75,11 @@ def _children(batches):
         for uri, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             store, path = _located(uri)
             local = isinstance(store, fs.LocalFileSystem)
-            rows = []
-            for info in store.get_file_info(fs.FileSelector(path, recursive=False, allow_not_found=not name)):
-                kind = "link" if local and os.path.islink(info.path) else kinds.get(info.type, "other")
-                rows.append((f"{uri}/{info.base_name}", f"{name}/{info.base_name}" if name else info.base_name, info.size if kind == "file" else None, info.mtime_ns // 10**6 * 1000 if info.mtime_ns is not None else None, kind))
-            if rows:
+            for piece in _entries(store, path, not name):
+                rows = []
+                for info in piece:
+                    kind = "link" if local and os.path.islink(info.path) else kinds.get(info.type, "other")
+                    rows.append((f"{uri}/{info.base_name}", f"{name}/{info.base_name}" if name else info.base_name, info.size if kind == "file" else None, info.mtime_ns // 10**6 * 1000 if info.mtime_ns is not None else None, kind))
                 types = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["path", "name", "length", "modified", "kind"])
 

@@ -167,3 +167,15 @@ def test_batches_that_no_longer_fit(spark, tmp_path):
     (tmp_path / "r" / "log" / "00000000.json").rename(tmp_path / "r" / "log" / "00000001.json")
     with pytest.raises(CommitRefused, match="gaps"):
         own.entries()
+
+
+def test_listing_in_pieces(tmp_path, monkeypatch):
+    """A directory's files come in batches of bounded size, whatever their number."""
+    import pyarrow as pa
+
+    root = folder_of(tmp_path, {f"p/{i}.html": b"x" * i for i in range(25)})
+    monkeypatch.setattr(filesets, "PIECE", 10)
+    found = list(filesets._children([pa.RecordBatch.from_pydict({"path": [f"{root}/p"], "name": ["p"]})]))
+    assert sorted(b.num_rows for b in found) == [5, 10, 10]
+    assert sorted(n for b in found for n in b.column("length").to_pylist()) == list(range(25))
+    assert list(filesets._children([pa.RecordBatch.from_pydict({"path": [f"{root}/none"], "name": [""]})])) == []
