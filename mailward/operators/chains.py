@@ -1,8 +1,8 @@
 """Chains of runs that name each other by manifest digest: where each one ends, and what must hold along it.
 
 The walk doubles pointers: a round joins every open run with the run that it has reached, so paths of any
-length are followed in a logarithmic number of rounds, each written to durable files. Runs that have reached
-their end leave the joins. What is still open after as many steps as there are runs leads into a cycle, and the
+length are followed in a logarithmic number of rounds, each of which writes what it moved to durable files. Runs
+that have reached their end move no more and are not written again. What is still open after as many steps as there are runs leads into a cycle, and the
 places reached then are exactly the cycles' runs.
 """
 
@@ -37,15 +37,13 @@ def chain_walk(runs: DataFrame) -> DataFrame:
     ended = F.col("parent").isNull()
     # place: the run reached after so many steps; low: the smallest run on the way there, its end left out.
     state = _kept(linked.select("run_id", F.coalesce("parent", "run_id").alias("place"), F.when(ended, 0).otherwise(1).cast("long").alias("steps"), F.col("run_id").alias("low"), ended.alias("done"), F.when(ended, F.col("lost")).alias("lost")), "walk")
-    finished = []
     total, rounds = state.count(), 0
     reached = state
     while (open_ := reached.filter("NOT done")).limit(1).count() and (1 << rounds) <= total:
-        finished.append(reached.filter("done"))
         step = state.select(F.col("run_id").alias("place"), F.col("place").alias("next"), F.col("steps").alias("more"), F.col("low").alias("next_low"), F.col("done").alias("next_done"), F.col("lost").alias("next_lost"))
         moved = open_.drop("done", "lost").join(step, "place")
         reached = _kept(moved.select("run_id", F.col("next").alias("place"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "next_low").alias("low"), F.col("next_done").alias("done"), F.col("next_lost").alias("lost")), "walk")
-        state = _kept(state.filter("done").unionByName(reached), "walk")
+        state = state.filter("done").unionByName(reached)  # each row stays in the file of the round that ended it
         rounds += 1
     rows = state
     cycles = reached.filter("NOT done").select(F.col("place").alias("run_id")).distinct().withColumn("in_cycle", F.lit(True))

@@ -96,3 +96,20 @@ def test_an_old_overlap_is_seen(spark):
 def test_utc_text(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert spark.range(1).select(chains.utc_text(F.lit("2026-08-21 21:05:22.017897").cast("timestamp")).alias("t")).first().t == "2026-08-21T21:05:22.017897Z"
+
+
+def test_walk_writes_what_moves(spark, monkeypatch):
+    """A run is written again only while its walk goes on."""
+    counts = []
+    kept = chains._kept
+
+    def counted(rows, name):
+        found = kept(rows, name)
+        counts.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(chains, "_kept", counted)
+    rows = [(i, f"s{i}", None if i % 100 else f"s{i - 100}" if i else None) for i in range(800)]
+    found = {r.run_id: r.depth for r in chains.chain_walk(spark.createDataFrame(rows, "run_id long, manifest_sha string, previous_sha string")).collect()}
+    assert found == {i: 0 if i % 100 else i // 100 for i in range(800)}
+    assert [n for name, n in counts if name == "walk"] == [800, 7, 6, 4]
