@@ -121,7 +121,10 @@ def ask(questions: Iterator[tuple[str, str]], factory: Callable[[], Resolver], t
 
     with ThreadPoolExecutor(threads) as pool:
         while part := list(islice(questions, 64 * threads)):
-            yield from pool.map(one, part)
+            # A call to a thread costs more than a quick answer: each gets a few questions, as long as all have work.
+            few = max(1, min(8, len(part) // (4 * threads)))
+            for found in pool.map(lambda some: [one(q) for q in some], [part[i : i + few] for i in range(0, len(part), few)]):
+                yield from found
 
 
 def answered(asked: DataFrame, factory: Callable[[], Resolver], settings: Settings = Settings()) -> DataFrame:

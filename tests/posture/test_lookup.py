@@ -108,3 +108,22 @@ def test_repeated_answers_and_domains(spark):
     rows += [("a.ch", "DS", "noanswer", []), ("b.ch", "DS", "ok", ["1"]), ("b.ch", "NS", "noanswer", None)]
     got = {r.domain: r for r in scan.scanned(plan, spark.createDataFrame(rows, lookup.SCHEMA)).collect()}
     assert len(got) == 2 and got["a.ch"].error == "" and got["b.ch"].error == "query_errors: DS b.ch, NS b.ch" and scan.scanned(plan, spark.createDataFrame(rows, lookup.SCHEMA)).count() == 2
+
+
+def test_threads_get_several_questions(monkeypatch):
+    """Many quick questions cost fewer calls to threads than there are questions; few ones still reach every thread."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    calls = []
+
+    class Counted(ThreadPoolExecutor):
+        def submit(self, *a, **k):
+            calls.append(a)
+            return super().submit(*a, **k)
+
+    monkeypatch.setattr(lookup, "ThreadPoolExecutor", Counted)
+    questions = [(f"d{i}.ch", "TXT") for i in range(4096)]
+    assert [r[:2] for r in lookup.ask(iter(questions), lookup.ChecksumResolver, 8)] == questions
+    assert len(calls) <= 1024
+    calls.clear()
+    assert len(list(lookup.ask(iter(questions[:8]), lookup.ChecksumResolver, 8))) == 8 == len(calls)
