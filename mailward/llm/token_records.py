@@ -21,6 +21,7 @@ smallest long. An empty table makes no shard. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,13 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table, written
-from .wordbpe import REMEMBERED, split_chunks, vocabulary_path
+from .wordbpe import REMEMBERED, split_chunks, split_pattern, vocabulary_path
 
 END_ID = 2
 _LENGTH, _CRC, _HEAD, _INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB"), struct.Struct("<qQQ")
 _NO_ID = -(2**63)
 #: Code points of text that are split and encoded at once.
 GROUP_CHARS = 1 << 20
+#: Characters that are normalised each by itself and that every version of Unicode takes alike: ASCII, Latin letters, dashes and quotes.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027]+").fullmatch
+#: Stands between plain chunks as a word of its own, and between their ids, which have 17 bits at most.
+_BETWEEN, _NO_IDS = "\0", b"\xff" * 4
 
 
 def masked_crc(data: bytes) -> int:
@@ -94,34 +99,80 @@ def _opened(uri: str, mode: str):
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each chunk of text between white space that is met often."""
+    """The tokenizers library, asked once for each chunk of text between white space, or each word of plain chunks, that is met often.
 
-    def __init__(self, path: str):
+    A chunk of plain letters and signs has the ids of its lower-cased words, one word after the other, so of such chunks
+    the library encodes only words not met before, many at once and without normalising. All other chunks go to it whole.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
+        (self.between,) = self.plain.encode(_BETWEEN, add_special_tokens=False).ids
+        self.parts = split_pattern(path)
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text with the end id behind them."""
-        split = [split_chunks(t or "") for t in texts]
-        known = self.known
-        new = [c for c in {c for s in split for c in s} if c not in known]
-        fresh = {}
+    def _whole(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks of any characters."""
+        out = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, "<u4").tobytes()
-        if len(known) < REMEMBERED:
+                out[c] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _worded(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of lower-cased words of plain chunks."""
+        out = {}
+        for at in range(0, len(new), 1_000):
+            part = new[at : at + 1_000]
+            (found,) = self.plain.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts, data = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
+            ends = [*cuts, len(data)]
+            out.update(zip(part, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], ends, strict=True)], strict=True))
+        return out
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not met before."""
+        plain = [c for c in new if _PLAIN(c) and "<|" not in c]
+        out = self._whole(list(new.difference(plain)))
+        if plain:
+            words, known = self.parts.findall(f" {_BETWEEN} ".join(plain).lower()), self.words
+            ids = list(map(known.get, words))
+            asked = self._worded(list({w for w, x in zip(words, ids, strict=True) if x is None} - {_BETWEEN}))
+            look = asked | {_BETWEEN: _NO_IDS}
+            out.update(zip(plain, b"".join([look[w] if x is None else x for w, x in zip(words, ids, strict=True)]).split(_NO_IDS), strict=True))
+            if len(known) < self.remembered:
+                known.update(asked)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text with the end id behind them."""
+        known, split, missing = self.known, [], set()
+        for t in texts:
+            chunks = split_chunks(t or "")
+            ids = list(map(known.get, chunks))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing.update([chunks[i] for i in gaps])
+            split.append((chunks, ids, gaps))
+        fresh, end, out = self._fresh(missing), np.array([END_ID], "<u4").tobytes(), []
+        for chunks, ids, gaps in split:
+            for i in gaps:
+                ids[i] = fresh[chunks[i]]
+            ids.append(end)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        if len(known) < self.remembered:
             known.update(fresh)
-            look = known.__getitem__
-        else:
-            look = lambda c: known.get(c) or fresh[c]
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(look, s), end]), "<u4") for s in split]
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}

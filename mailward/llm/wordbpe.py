@@ -38,6 +38,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def split_pattern(path: str) -> regex.Pattern:
+    """The pattern of a vocabulary file for the words of normalised text."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    return regex.compile(split["pattern"]["Regex"])
+
+
 def byte_letters() -> dict[int, str]:
     """Each byte as one printable letter: itself where it is printable, else a letter from 256 upwards."""
     plain = [b for b in range(256) if 0x21 <= b <= 0x7E or (b >= 0xA1 and b != 0xAD)]
