@@ -41,7 +41,8 @@ _NO_ID = -(2**63)
 #: Code points of text that are split and encoded at once.
 GROUP_CHARS = 1 << 20
 #: Characters that are normalised each by itself and that every version of Unicode takes alike: ASCII, Latin letters, dashes and quotes.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027]+").fullmatch
+_CHARS = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027"
+_PLAIN, _PLAIN_TEXT = (re.compile(f"[{more}{_CHARS}]+").fullmatch for more in ("", "\t-\r "))
 #: Stands between plain chunks as a word of its own, and between their ids, which have 17 bits at most.
 _BETWEEN, _NO_IDS = "\0", b"\xff" * 4
 
@@ -114,7 +115,9 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
-        (self.between,) = self.plain.encode(_BETWEEN, add_special_tokens=False).ids
+        vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.parts = split_pattern(path)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
@@ -130,15 +133,14 @@ class LibraryEncoder:
         return out
 
     def _worded(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of lower-cased words of plain chunks."""
+        """Ids of lower-cased words of plain chunks; each ends with the only one of its ids that may end a word."""
         out = {}
-        for at in range(0, len(new), 1_000):
-            part = new[at : at + 1_000]
-            (found,) = self.plain.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)
+        for at in range(0, len(new), 100):
+            part = new[at : at + 100]
+            (found,) = self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            cuts, data = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
-            ends = [*cuts, len(data)]
-            out.update(zip(part, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], ends, strict=True)], strict=True))
+            ends, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
+            out.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         return out
 
     def _fresh(self, new: set[str]) -> dict[str, bytes]:
@@ -159,6 +161,8 @@ class LibraryEncoder:
         """Ids of each text with the end id behind them."""
         known, split, missing = self.known, [], set()
         for t in texts:
+            if t and _PLAIN_TEXT(t) and "<|" not in t:
+                t = t.lower()
             chunks = split_chunks(t or "")
             ids = list(map(known.get, chunks))
             gaps = [i for i, x in enumerate(ids) if x is None]
